@@ -14,6 +14,12 @@ from strandflow.llm.common import read_table, split_of
 PSEUDONYM_KEY = "example key"
 
 
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandflow.llm.pitman_yor import score_documents
+
+    return score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandflow.llm.pseudonyms import pseudonymize
 
@@ -88,6 +94,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pitman_yor": op1_pitman_yor,
     "op2_pseudonyms": op2_pseudonyms,
     "op3_packing": op3_packing,
     "op4_media": op4_media,
