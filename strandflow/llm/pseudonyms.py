@@ -207,8 +207,8 @@ KINDS: list[tuple[str, str, Callable[[str, bytes], str | None]]] = [
     ("date", r"(?<![\w/.-])(\d{2}\.\d{2}\.\d{4})(?![\w/-]|\.\d)", _date("dmy", ".")),
     ("ipv4", r"(?<![\w.])(\d{1,3}(?:\.\d{1,3}){3})(?![\w]|\.\d)", _ipv4),
     ("ssn", r"(?<![\w-])(\d{3}-\d{2}-\d{4})(?![\w-])", _ssn),
-    ("card", r"(?<![\d])(\d(?:[ -]?\d){12,18})(?!\d)", _card),
-    ("phone", r"(?<![\w(+])(\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)", _phone),
+    ("card", r"(?<!\d)(\d{13,19}|\d{4}([ -])\d{4}\2\d{4}\2\d{1,7}|\d{4}([ -])\d{6}\3\d{5})(?!\d)", _card),
+    ("phone", r"(?<![\w(+])(\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)", _phone),
 ]
 
 
@@ -240,8 +240,11 @@ class Pseudonymizer:
             while m := pattern.search(text, at):
                 at = m.start() + 1
                 a, b = m.span(1)
-                if any(a < y and x < b for x, y in taken):
-                    continue
+                if over := [x for x, y in taken if a < y and x < b]:
+                    m = pattern.match(text, m.start(), min(over)) if min(over) > a else None  # the part before what is taken
+                    if not m:
+                        continue
+                    a, b = m.span(1)
                 value = m[1]
                 if (k, value) not in self.known:
                     if len(self.known) > 100_000:
