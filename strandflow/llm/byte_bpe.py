@@ -3,11 +3,12 @@
 Each task cuts its documents into the pattern's matches and hands Spark one row
 per block of documents: the block's new distinct words and, per document, the
 indices of its words. Spark folds the ranked merges over each word's byte array
-(an array of one-byte strings); the ranks are a literal array of small maps,
-found by hash, since a single map literal would be searched from end to end.
-The decoded bytes are the concatenated pieces of the ids. A last step puts the
-ids of a document's words in order and takes the digests. There is no shuffle;
-a task keeps at most MAX_WORDS distinct words and starts anew beyond that.
+(as the bytes' ids). The ranks are a literal array, a hash table whose entries
+hold two neighbouring ids and the id that they make, since a map literal would be
+searched from end to end; each pair has one of two places, so a look-up is two
+reads and no branch. The decoded bytes are the concatenated pieces of the ids. A
+last step puts the ids of a document's words in order. There is no shuffle; a
+task keeps at most MAX_WORDS distinct words and starts anew beyond that.
 
 Null texts count as empty; an empty text has no ids. Repeated rows are each
 encoded. Other columns of the input are ignored.
@@ -18,7 +19,7 @@ from __future__ import annotations
 import base64
 import json
 import re
-import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 8 << 20
+#: Text of a task: a large task meets fewer new words than its parts would.
+TASK_BYTES = 64 << 20
 MAX_WORDS = 1_000_000
-BUCKETS = 1 << 14
-NONE = 0x7FFFFFFF
-#: Symbols start above the surrogates.
-SYMBOLS = 0x10000
+MAX_CHUNKS = 300_000
+#: Sizes of the two halves' hash functions (primes), for tables of up to about 70,000 merges.
+FIRST, SECOND, FACTOR, OFFSET = 179_999, 179_989, 40_503, 17
+#: An entry that differs from every pair above its lowest 16 bits.
+EMPTY = 1 << 49
 
 #: A space between two characters that are surely not white space always starts a match.
 _LOOSE = re.compile(r" \s|\s |^ | $")
@@ -54,11 +58,6 @@ def chunks_of(text: str) -> list[str]:
     return _CUT.split(text) if _LOOSE.search(text) else text.split(" ")
 
 
-def symbol(rank: int) -> str:
-    """A token as one character; characters compare as their ranks do, in Spark's byte order too."""
-    return chr(SYMBOLS + rank)
-
-
 def last_merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
     """The two tokens whose merge makes piece.
 
@@ -67,32 +66,45 @@ def last_merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
     """
     parts = [piece[i : i + 1] for i in range(len(piece))]
     while len(parts) > 2:
-        pairs = [(ranks.get(a + b, NONE), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))]
+        pairs = [(ranks.get(a + b, EMPTY), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))]
         _, i = min(pairs)
         parts[i : i + 2] = [parts[i] + parts[i + 1]]
     return parts[0], parts[1]
 
 
-def _buckets(entries: dict[str, str], kind: str) -> Column:
-    maps: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
-    for key, value in entries.items():
-        maps[zlib.crc32(key.encode()) % BUCKETS][key] = value
-    return F.from_json(F.lit(json.dumps(maps)), kind)
+def rank_table(ranks: dict[bytes, int]) -> list[int]:
+    """A cuckoo hash table of pair << 16 | made, where pair is left << 16 | right; ids need 16 bits."""
+    if max(ranks.values()) >= 1 << 16:
+        raise ValueError("ids over 16 bits")
+    table: list[tuple[int, int] | None] = [None] * FIRST
+    for piece, made in ranks.items():
+        if len(piece) == 1:
+            continue
+        left, right = last_merge(piece, ranks)
+        entry, pair = (ranks[left] << 16 | ranks[right], made), ranks[left] << 16 | ranks[right]
+        at = pair % FIRST
+        for _ in range(1000):
+            entry, table[at] = table[at], entry
+            if entry is None:
+                break
+            places = entry[0] % FIRST, (entry[0] * FACTOR + OFFSET) % SECOND
+            at = places[1] if at == places[0] else places[0]
+        else:
+            raise ValueError("the table is too full")
+    return [EMPTY if x is None else x[0] << 16 | x[1] for x in table]
 
 
 def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """An array of maps from two neighbouring tokens to the token that they make; Spark folds it into one literal."""
-    entries = {}
-    for piece, rank in ranks.items():
-        if len(piece) > 1:
-            left, right = last_merge(piece, ranks)
-            entries[symbol(ranks[left]) + symbol(ranks[right])] = symbol(rank)
-    return _buckets(entries, "array<map<string,string>>")
+    """rank_table() as an array that Spark folds into one literal."""
+    return F.from_json(F.lit(json.dumps(rank_table(ranks))), "array<bigint>")
 
 
-def _found(table: Column, key: Column) -> Column:
-    bucket = F.pmod(F.crc32(key.cast("binary")), F.lit(BUCKETS)).cast("int") + 1
-    return F.try_element_at(F.element_at(table, bucket), key)
+def piece_literal(ranks: dict[bytes, int]) -> Column:
+    """Each id's bytes, as Latin-1 text."""
+    pieces = [""] * (max(ranks.values()) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece.decode("latin-1")
+    return F.from_json(F.lit(json.dumps(pieces)), "array<string>")
 
 
 def _let(value: Column, body) -> Column:
@@ -101,43 +113,32 @@ def _let(value: Column, body) -> Column:
 
 
 def encode_word(word: Column, table: Column) -> Column:
-    """Fold the ranked merges over one word, given and returned as a string of symbols.
+    """Fold the ranked merges over one word, an array of its bytes' ids, to the array of its ids.
 
-    Each step merges the first pair of the lowest rank; the fold's state says
-    when no pair is left. The table stands in the expression once, since each
-    copy of the literal would be sent and read again.
+    Each step looks up every two neighbours and merges the first of the lowest
+    rank. An entry and a pair that agree leave the made id, which is below
+    65536; any others leave more.
     """
 
-    def step(s: Column, _: Column) -> Column:
-        pieces = s["p"]
-        made = F.transform(F.sequence(F.lit(1), F.length(pieces) - 1), lambda i: _found(table, F.substring(pieces, i, F.lit(2))))
-
-        def merge(m: Column, low: Column) -> Column:
-            return _let(
-                F.array_position(m, low).cast("int"),
-                lambda at: F.struct(
-                    F.concat(F.substring(pieces, F.lit(1), at - 1), low, F.substring(pieces, at + 2, F.lit(NONE))).alias("p"),
-                    (F.length(pieces) <= 2).alias("done"),
-                ),
-            )
+    def entry(at: Column, pair: Column) -> Column:
+        return F.get(table, at.cast("int")).bitwiseXOR(pair * 65536)
 
-        merged = _let(
-            made,
-            lambda m: _let(F.array_min(m), lambda low: F.when(low.isNull(), F.struct(pieces.alias("p"), F.lit(True).alias("done"))).otherwise(merge(m, low))),
-        )
-        return F.when(s["done"], s).otherwise(merged)
+    def step(p: Column, _: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: F.get(p, i) * 65536 + F.get(p, i + 1))
+        made = F.transform(pairs, lambda k: F.least(entry(k % FIRST, k), entry((k * FACTOR + OFFSET) % SECOND, k)))
 
-    state = F.struct(word.alias("p"), (F.length(word) < 2).alias("done"))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1))), state, step, lambda s: s["p"])
+        def merge(r: Column, low: Column) -> Column:
+            return _let(F.array_position(r, low), lambda at: F.transform(F.filter(p, lambda x, i: i != at), lambda x, i: F.when(i == at - 1, low).otherwise(x)))
 
+        merged = _let(made, lambda r: _let(F.array_min(r), lambda low: F.when(low >= 65536, p).otherwise(merge(r, low))))
+        return F.when(F.size(p) < 2, p).otherwise(merged)
 
-def decode_word(ids: Column, pieces: Column) -> Column:
-    """The bytes of a string of symbols: the pieces of its ids, concatenated (as Latin-1 text)."""
-    return F.array_join(F.transform(F.split(ids, ""), lambda i: _found(pieces, i)), "")
+    return F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(word), F.lit(2))), word, step)
 
 
-def piece_literal(ranks: dict[bytes, int]) -> Column:
-    return _buckets({symbol(rank): piece.decode("latin-1") for piece, rank in ranks.items()}, "array<map<string,string>>")
+def decode_word(ids: Column, pieces: Column) -> Column:
+    """The bytes of an array of ids: their pieces, concatenated (as Latin-1 text)."""
+    return F.array_join(F.transform(ids, lambda i: F.get(pieces, i.cast("int"))), "")
 
 
 def _blocks(pattern: str, byte_ranks: list[int], id_column: str, text_column: str):
@@ -145,9 +146,7 @@ def _blocks(pattern: str, byte_ranks: list[int], id_column: str, text_column: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = word_pattern(pattern).findall
-        symbols = [symbol(r) for r in byte_ranks]
         words: dict[str, int] = {}
-        chunks: dict[str, np.ndarray] = {}
         fresh, ids, rows, held, start = [], [], [], 0, 0
 
         def number(word: str) -> int:
@@ -168,7 +167,7 @@ def _blocks(pattern: str, byte_ranks: list[int], id_column: str, text_column: st
             return pa.record_batch(
                 [
                     pa.array([start], pa.int64()),
-                    pa.array([["".join(symbols[b] for b in w.encode()) for w in fresh]], pa.list_(pa.string())),
+                    pa.array([[[byte_ranks[b] for b in w.encode()] for w in fresh]], pa.list_(pa.list_(pa.int64()))),
                     pa.array([[{"id": i, "words": w} for i, w in zip(ids, rows, strict=True)]], pa.list_(pa.struct([("id", pa.int64()), ("words", pa.binary())]))),
                 ],
                 names=["start", "words", "docs"],
@@ -180,6 +179,8 @@ def _blocks(pattern: str, byte_ranks: list[int], id_column: str, text_column: st
                 ids.append(key)
                 rows.append(chunks[first] + b"".join([chunks[" " + x] for x in rest]) if text else b"")
                 held += len(text or "") + 64
+                if len(chunks) > MAX_CHUNKS:
+                    chunks.clear()
                 if held >= BLOCK_BYTES:
                     yield block()
                     fresh, ids, rows, held, start = [], [], [], 0, len(words)
@@ -195,12 +196,12 @@ def _blocks(pattern: str, byte_ranks: list[int], id_column: str, text_column: st
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words' ids and pieces, put in each document's order."""
-    sizes, symbols, decoded = np.empty(0, np.int64), [], []
+    symbols, decoded = [], []
     for batch in batches:
         for start, ids, pieces, docs in zip(*(batch.column(n) for n in ("start", "ids", "pieces", "docs")), strict=True):
             if start.as_py() == 0:
                 symbols, decoded = [], []
-            symbols += [(np.frombuffer(x.encode("utf-32-le"), "<u4") - SYMBOLS).astype("<u4").tobytes() for x in ids.as_py()]
+            symbols += [array("I", x).tobytes() for x in ids.as_py()]
             decoded += [x.encode("latin-1") for x in pieces.as_py()]
             out = []
             for doc in docs.as_py():
@@ -221,9 +222,12 @@ def _rows(out: list[tuple]) -> Iterator[pa.RecordBatch]:
 def encode_documents(docs: DataFrame, rank_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and decoded bytes of each document."""
     ranks = read_ranks(rank_path)
-    blocks = docs.select(id_column, text_column).mapInArrow(
+    rows = docs.select(id_column, text_column)
+    size = rows.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
+    rows = rows.coalesce(max(-(-size // TASK_BYTES), docs.sparkSession.sparkContext.defaultParallelism))
+    blocks = rows.mapInArrow(
         _blocks(pattern, [ranks[bytes([b])] for b in range(256)], id_column, text_column),
-        "start long, words array<string>, docs array<struct<id:long,words:binary>>",
+        "start long, words array<array<bigint>>, docs array<struct<id:long,words:binary>>",
     )
     table, pieces = rank_literal(ranks), piece_literal(ranks)
     coded = blocks.select("start", "docs", F.transform("words", lambda w: encode_word(w, table)).alias("ids"))
