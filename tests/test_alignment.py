@@ -166,3 +166,15 @@ def test_all_pairs_of_short_strings_keep_their_letters():
     for a, b in itertools.product(["", "A", "AC", "GTT"], repeat=2):
         path, _ = kernel.pairwise(a, b, Scoring())
         assert kernel.replay(a, path, 1).replace("-", "") == a and kernel.replay(b, path, 2).replace("-", "") == b
+
+
+def test_stream(spark, tmp_path):
+    from strandflow.streaming.placement import place_stream
+
+    back = spark.createDataFrame([("x", "AC-GT"), ("y", "ACCGT")], "name string, aligned string")
+    spark.createDataFrame([("p", "ACGT"), ("q", "ACCCGT")], "name string, seq string").write.json(str(tmp_path / "in"))
+    stream = spark.readStream.schema("name string, seq string").json(str(tmp_path / "in"))
+    running = place_stream(stream, back, str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    running.awaitTermination(120)
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    check([r for r in rows], [("x", "ACGT"), ("y", "ACCGT"), ("p", "ACGT"), ("q", "ACCCGT")])
