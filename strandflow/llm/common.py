@@ -71,10 +71,14 @@ def split_of(column, modulus: int):
     return F.crc32(column.cast("string").cast("binary")) % F.lit(modulus)
 
 
-def process_cache() -> dict:
-    """A dict that a Python worker keeps from task to task; whoever fills it bounds what it holds."""
+def process_cache(owner: str) -> dict:
+    """A dict that a Python worker keeps from task to task, for one operator at a time; its owner bounds what it holds."""
     import sys
     import types
 
     name = "strandflow_process_cache"
-    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+    cache = sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+    if cache.get("owner") != owner:
+        cache.clear()
+        cache["owner"] = owner
+    return cache

@@ -211,7 +211,7 @@ def sample_labelled(docs: DataFrame, eligible, id_column: str = "doc_id", text_c
 
 def _predict(model: Model | None, text_column: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = process_cache()
+        cache = process_cache("language")
         if cache.get("crf_of") != token:
             cache.update(crf_of=token, crf_words={}, crf_scores=[])
         index: dict[str, int] = cache["crf_words"]

@@ -82,7 +82,7 @@ class Encoder(dict):
 
 def encoder(path: str) -> Encoder:
     """The worker's encoder: the words learnt in one task serve the next."""
-    cache = process_cache()
+    cache = process_cache("packing")
     if ("encoder", path) not in cache:
         cache["encoder", path] = Encoder(path)
     return cache["encoder", path]

@@ -219,3 +219,10 @@ def test_pipeline(spark):
     assert {r.doc_id for r in safe.collect()} == ids and safe.columns == source.columns
     packed = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in packed} == ids
+
+
+def test_a_worker_keeps_one_operators_words():
+    from strandflow.llm.common import process_cache
+
+    process_cache("a")["x"] = 1
+    assert process_cache("a")["x"] == 1 and "x" not in process_cache("b") and "x" not in process_cache("a")
