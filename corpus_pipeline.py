@@ -20,8 +20,8 @@ from strandflow.llm.pseudonyms import pseudonymize
 
 #: A document is rejected when no language holds this share of its words.
 LEAST_SHARE = 0.3
-#: Near-duplicates share this percentage of their five-word shingles; more half keys keep the recall at the lower threshold.
-PERCENT, SIDE = 80, 14
+#: Near-duplicates share this percentage of their five-word shingles; shorter and more half keys keep the recall at the lower threshold.
+PERCENT, ROWS, SIDE = 80, 6, 24
 KEY = "example key"
 
 
@@ -37,7 +37,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the smallest id. Rows without an id stay."""
-    kept = near_duplicates(docs, percent=PERCENT, side=SIDE).where("kept").select("doc_id").distinct()
+    kept = near_duplicates(docs, percent=PERCENT, rows=ROWS, side=SIDE).where("kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 

@@ -8,11 +8,13 @@ similarity s meet in some table with probability (1 - (1 - s^ROWS)^SIDE)^2.
 
 Equal sets are one class from the start, found by an exact 128-bit digest, so
 copies never meet. Keys that only one class holds are dropped before the tables
-are formed. Every class of a bucket is compared with the bucket's smallest; the
-links are verified on the full sets. Then classes of a bucket that are still in
-different components are compared with each other, so no candidate is left out:
-a bucket's pairs are formed only where components remain apart. Components come
-from star steps over the links.
+are formed. Each bucket links its classes with its smallest; the components of
+these candidates are clusters. All classes of a cluster are compared on their
+full sets, so every candidate pair is: a cluster is cut in blocks of at most
+about BLOCK classes and BLOCK_SHINGLES shingles, a task compares two blocks by
+products of incidence matrices and returns a spanning forest of the links it
+found, at most one row for each class. No pair is ever a row. The links' own
+components are the result.
 
 Null, empty and wordless texts have no shingles and link with nothing; texts of
 one to four words are one shingle, the whole sequence. Rows with a null id are
@@ -34,11 +36,13 @@ from strandflow.llm.common import materialize, process_cache, release
 from strandflow.llm.components import components
 
 WORDS = 5
-ROWS = 4
-SIDE = 10
+ROWS = 7
+SIDE = 20
+BLOCK = 2048
+BLOCK_SHINGLES = 1_000_000
+COLUMNS = 4096
 MAX_WORDS = 1_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
-_Q = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -71,26 +75,26 @@ def shingles(data: bytes, hashes: dict[bytes, int], words: int = WORDS) -> np.nd
 
 def permutations(n: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    return rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    return rng.integers(0, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, n, dtype=np.uint32)
 
 
 def half_keys(x: np.ndarray, a: np.ndarray, b: np.ndarray, rows: int = ROWS) -> np.ndarray:
-    """One key for each `rows` minhashes."""
-    least = np.empty(len(a), np.uint64)
-    for k in range(0, len(a), 8):
-        y = x[None, :] * a[k : k + 8, None]
-        y += b[k : k + 8, None]
-        y ^= y >> np.uint64(32)
-        y *= _Q
-        least[k : k + 8] = y.min(1)
+    """One key for each `rows` minhashes, of the high halves of mixed hashes; blocks of a few functions stay in the cache."""
+    least = np.empty(len(a), np.uint32)
+    high = (x >> np.uint64(32)).astype(np.uint32)
+    step = max(1, 32_768 // len(x))
+    for k in range(0, len(a), step):
+        y = high[None, :] * a[k : k + step, None]
+        y += b[k : k + step, None]
+        least[k : k + step] = y.min(1)
     key = np.zeros(len(a) // rows, np.uint64)
-    for column in least.reshape(-1, rows).T:
-        key = _mixed(key * _P + column)
+    for column in least.astype(np.uint64).reshape(-1, rows).T:
+        key = _mixed(key * _P + column + np.uint64(1))
     return key.view(np.int64)
 
 
 def _cached_hashes() -> WordHashes:
-    cache = process_cache()
+    cache = process_cache("near_dedup")
     known = cache.setdefault("word_hashes", WordHashes())
     if len(known) > MAX_WORDS:
         known.clear()
@@ -124,29 +128,70 @@ def _signatures(words: int, rows: int, side: int):
     return run
 
 
+def linked_pairs(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i < j) of the sets with 100 * intersection >= percent * union."""
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    values, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = counts[column] > 1
+    number = np.cumsum(counts > 1) - 1
+    row, col = owner[shared], number[column[shared]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int(counts[counts > 1].size), COLUMNS):
+        a, b = np.searchsorted(col, [start, start + COLUMNS])
+        x = np.zeros((len(sets), min(COLUMNS, int(col[b - 1]) - start + 1 if b > a else 1)), np.float32)
+        x[row[a:b], col[a:b] - start] = 1
+        both += x @ x.T
+    union = sizes[:, None] + sizes[None, :] - both
+    return np.nonzero(np.triu(100 * both >= percent * union, 1))
+
+
+def forest(n: int, pairs: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs that join what is still apart."""
+    parent = list(range(n))
+    out = []
+    for i, j in zip(pairs[0].tolist(), pairs[1].tolist(), strict=True):
+        x, y = i, j
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        while parent[y] != y:
+            parent[y] = parent[parent[y]]
+            y = parent[y]
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((i, j))
+    return out
+
+
 def _verify(words: int, percent: int):
+    """Rows sorted by group (cluster, two blocks) to links of the group's classes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         hashes = _cached_hashes()
         unpack = zstandard.ZstdDecompressor().decompress
-        sets: dict[int, np.ndarray] = {}
+        group, ids, sets = None, [], []
+
+        def links() -> list[tuple[int, int]]:
+            return [(ids[i], ids[j]) for i, j in forest(len(ids), linked_pairs(sets, percent))] if len(ids) > 1 else []
 
-        def of(key: int, packed: bytes) -> np.ndarray:
-            if key not in sets:
-                if len(sets) > 500:
-                    sets.clear()
-                sets[key] = shingles(unpack(packed), hashes, words)
-            return sets[key]
+        def record(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            keep = []
-            for a, b, x, y in zip(*(batch.column(n).to_pylist() for n in ("a", "b", "text_a", "text_b")), strict=True):
-                u, v = of(a, x), of(b, y)
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                keep.append(100 * both >= percent * (len(u) + len(v) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.record_batch([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+            out: list[tuple[int, int]] = []
+            for key, x, y, doc, packed in zip(*(batch.column(n).to_pylist() for n in ("cluster", "x", "y", "doc_id", "packed")), strict=True):
+                if (key, x, y) != group:
+                    out += links()
+                    group, ids, sets = (key, x, y), [], []
+                ids.append(doc)
+                sets.append(shingles(unpack(packed), hashes, words))
+            yield record(out)
+        yield record(links())
 
     return run
 
@@ -169,39 +214,19 @@ def near_duplicates(
     side_a, side_b = (F.collect_list(F.when(which, F.struct("place", "key"))) for which in (F.col("place") < side, F.col("place") >= side))
     paired = live.agg(side_a.alias("x"), side_b.alias("y")).select("doc_id", F.explode("x").alias("x"), "y").select("doc_id", "x", F.explode("y").alias("y"))
     tables = materialize(paired.select("doc_id", F.xxhash64("x.place", "x.key", "y.place", "y.key").alias("bucket")), "tables")
+    release(halves)
     buckets = tables.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("bucket", "first")
-    members = materialize(tables.join(buckets, "bucket").select("bucket", "first", "doc_id"), "members")
-    release(halves, tables)
-
-    sizes = classes.groupBy("class").agg(F.min("n").alias("n"))
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """Pairs whose set sizes allow the similarity."""
-        sized = pairs.join(sizes.select(F.col("class").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("class").alias("b"), F.col("n").alias("nb")), "b")
-        return sized.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        texts = materialize(some.select("doc_id", "packed").join(wanted, "doc_id", "left_semi"), "texts")
-        full = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("text_a")), "a").join(
-            texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("text_b")), "b"
-        )
-        out = materialize(full.mapInArrow(_verify(words, percent), "a long, b long").distinct(), "links")
-        release(texts)
-        return out
-
-    stars = materialize(near(members.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()), "pairs")
-    links = linked(stars)
-    found = components(links)
-    # classes of one bucket that are still apart
-    placed = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    apart = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    placed = materialize(placed.join(apart, "bucket"), "apart")
-    other = placed.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("other"))
-    crossed = placed.withColumnRenamed("doc_id", "a").join(other, "bucket").where("a < b and component <> other").select("a", "b").distinct()
-    rest = materialize(near(crossed.join(stars, ["a", "b"], "left_anti")), "pairs")
-    if rest.limit(1).count():
-        found = components(links.unionByName(linked(rest)))
+    met = tables.join(buckets, "bucket").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
+    near = components(met)
+    release(tables)
+    cluster = materialize(near.unionByName(near.select(F.col("component").alias("node"), "component").distinct()).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "clusters")
+    texts = some.join(cluster, "doc_id").join(classes.select("set_a", "set_b", F.col("class").alias("doc_id")), ["doc_id", "set_a", "set_b"], "left_semi").select("cluster", "doc_id", "n", "packed")
+    sizes = cluster.join(classes.groupBy(F.col("class").alias("doc_id")).agg(F.max("n").alias("n")), "doc_id").groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
+    blocks = sizes.select("cluster", F.ceil(F.greatest(F.col("docs") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).alias("blocks"))
+    dealt = texts.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    grouped = dealt.select("cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "doc_id", "packed").repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
+    found = components(grouped.mapInArrow(_verify(words, percent), "a long, b long"))
     named = classes.join(found.withColumnRenamed("node", "class"), "class", "left").select("set_a", "set_b", F.coalesce("component", "class").alias("component_id"))
     named = materialize(named, "components")
     plain = signed.select("doc_id", "n", "set_a", "set_b")
