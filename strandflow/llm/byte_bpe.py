@@ -28,11 +28,11 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 #: Text of a task: a large task meets fewer new words than its parts would.
-TASK_BYTES = 64 << 20
-MAX_WORDS = 1_000_000
-MAX_CHUNKS = 300_000
+TASK_BYTES = 48 << 20
+MAX_WORDS = 700_000
+MAX_CHUNKS = 100_000
 #: Sizes of the two halves' hash functions (primes), for tables of up to about 70,000 merges.
 FIRST, SECOND, FACTOR, OFFSET = 179_999, 179_989, 40_503, 17
 #: An entry that differs from every pair above its lowest 16 bits.
@@ -143,6 +143,7 @@ def decode_word(ids: Column, pieces: Column) -> Column:
 
 def _blocks(pattern: str, byte_ranks: list[int], id_column: str, text_column: str):
     """Documents to blocks: new distinct words, and per document the words' indices in the task's list."""
+    ranks = np.array(byte_ranks, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = word_pattern(pattern).findall
@@ -157,27 +158,33 @@ def _blocks(pattern: str, byte_ranks: list[int], id_column: str, text_column: st
             return at
 
         class Chunks(dict):
+            """The indices of a chunk's words; a chunk stands for itself with the space before it."""
+
             def __missing__(self, chunk: str) -> bytes:
-                self[chunk] = out = np.fromiter(map(number, match(chunk)), np.uint32).tobytes()
+                self[chunk] = out = array("I", map(number, match(" " + chunk))).tobytes()
                 return out
 
         chunks = Chunks()
 
         def block() -> pa.RecordBatch:
+            spelled = [w.encode() for w in fresh]
+            ends = np.cumsum([0, *map(len, spelled)]).astype(np.int32)
+            values = ranks[np.frombuffer(b"".join(spelled), np.uint8)]
+            coded = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+            docs = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.binary())], names=["id", "words"])
             return pa.record_batch(
-                [
-                    pa.array([start], pa.int64()),
-                    pa.array([[[byte_ranks[b] for b in w.encode()] for w in fresh]], pa.list_(pa.list_(pa.int64()))),
-                    pa.array([[{"id": i, "words": w} for i, w in zip(ids, rows, strict=True)]], pa.list_(pa.struct([("id", pa.int64()), ("words", pa.binary())]))),
-                ],
+                [pa.array([start], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(spelled)], pa.int32()), coded), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), docs)],
                 names=["start", "words", "docs"],
             )
 
         for batch in batches:
             for key, text in zip(batch.column(id_column).to_pylist(), batch.column(text_column).to_pylist(), strict=True):
-                first, *rest = chunks_of(text or "")
                 ids.append(key)
-                rows.append(chunks[first] + b"".join([chunks[" " + x] for x in rest]) if text else b"")
+                if text:
+                    first, *rest = chunks_of(text)
+                    rows.append(array("I", map(number, match(first))).tobytes() + b"".join(map(chunks.__getitem__, rest)))
+                else:
+                    rows.append(b"")
                 held += len(text or "") + 64
                 if len(chunks) > MAX_CHUNKS:
                     chunks.clear()
@@ -196,19 +203,30 @@ def _blocks(pattern: str, byte_ranks: list[int], id_column: str, text_column: st
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words' ids and pieces, put in each document's order."""
-    symbols, decoded = [], []
+    symbols: list[bytes] = []
+    decoded: list[bytes] = []
     for batch in batches:
-        for start, ids, pieces, docs in zip(*(batch.column(n) for n in ("start", "ids", "pieces", "docs")), strict=True):
+        for k in range(batch.num_rows):
+            start, ids, pieces, docs = (batch.column(n)[k] for n in ("start", "ids", "pieces", "docs"))
             if start.as_py() == 0:
                 symbols, decoded = [], []
-            symbols += [array("I", x).tobytes() for x in ids.as_py()]
-            decoded += [x.encode("latin-1") for x in pieces.as_py()]
+            if ids.values is not None and len(ids.values):
+                flat = ids.values
+                offsets = flat.offsets.to_numpy()
+                ends = ((offsets - offsets[0]) * 4).tolist()
+                raw = flat.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+                symbols += [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+                decoded += [x.encode("latin-1") for x in pieces.values.to_pylist()]
             out = []
-            for doc in docs.as_py():
-                at = np.frombuffer(doc["words"], np.uint32).tolist()
-                raw = b"".join([symbols[i] for i in at])
-                out.append((doc["id"], len(raw) // 4, raw, b"".join([decoded[i] for i in at])))
-            yield from _rows(out)
+            for key, words in zip(docs.values.field("id").to_pylist(), docs.values.field("words").to_pylist(), strict=True):
+                at = array("I", words).tolist()
+                raw = b"".join(map(symbols.__getitem__, at))
+                out.append((key, len(raw) // 4, raw, b"".join(map(decoded.__getitem__, at))))
+                if len(out) == 256:
+                    yield from _rows(out)
+                    out = []
+            if out:
+                yield from _rows(out)
 
 
 def _rows(out: list[tuple]) -> Iterator[pa.RecordBatch]:
