@@ -117,7 +117,8 @@ def encode_word(word: Column, table: Column) -> Column:
 
     Each step looks up every two neighbours and merges the first of the lowest
     rank. An entry and a pair that agree leave the made id, which is below
-    65536; any others leave more.
+    65536; any others leave more. Once nothing merges, a last -1 says so to the
+    steps that remain.
     """
 
     def entry(at: Column, pair: Column) -> Column:
@@ -130,10 +131,10 @@ def encode_word(word: Column, table: Column) -> Column:
         def merge(r: Column, low: Column) -> Column:
             return _let(F.array_position(r, low), lambda at: F.transform(F.filter(p, lambda x, i: i != at), lambda x, i: F.when(i == at - 1, low).otherwise(x)))
 
-        merged = _let(made, lambda r: _let(F.array_min(r), lambda low: F.when(low >= 65536, p).otherwise(merge(r, low))))
-        return F.when(F.size(p) < 2, p).otherwise(merged)
+        merged = _let(made, lambda r: _let(F.array_min(r), lambda low: F.when(low >= 65536, F.concat(p, F.array(F.lit(-1).cast("long")))).otherwise(merge(r, low))))
+        return F.when((F.size(p) < 2) | (F.element_at(p, -1) < 0), p).otherwise(merged)
 
-    return F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(word), F.lit(2))), word, step)
+    return F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(word), F.lit(2))), word, step, lambda p: F.filter(p, lambda x: x >= 0))
 
 
 def decode_word(ids: Column, pieces: Column) -> Column:
