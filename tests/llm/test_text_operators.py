@@ -48,6 +48,12 @@ def test_extraction():
     assert extraction.main_text(plain) == ("Long text here. " * 20).strip() + "\n\nShort."
 
 
+def test_a_removed_element_ends_no_block():
+    long, short = "Long text. " * 90, "A short last paragraph."
+    assert extraction.main_text(f'<body><div><p>{long}</p><div class="ad">x</div><p>{short}</p></div></body>') == f"{long.strip()}\n\n{short}"
+    assert extraction.main_text(f'<body><div><p>{long}</p><p><a href="#">Its source</a></p></div><div><a href="#">More</a></div></body>') == f"{long.strip()}\n\nIts source"
+
+
 def test_extraction_frame(spark):
     frame = spark.createDataFrame([(1, "u", PAGE, 7), (1, "u", PAGE, 7), (2, None, None, 8)], "page_id long, url string, html string, n_chars int")
     rows = extraction.extract_pages(frame).collect()
