@@ -54,6 +54,14 @@ def test_a_removed_element_ends_no_block():
     assert extraction.main_text(f'<body><div><p>{long}</p><p><a href="#">Its source</a></p></div><div><a href="#">More</a></div></body>') == f"{long.strip()}\n\nIts source"
 
 
+def test_skipped_elements_end_where_html_ends_them():
+    assert extraction.main_text('<article><p class="notice">Note<p>A</p><p>B</p></article>') == "A\n\nB"
+    assert extraction.main_text('<article><ul><li class="share">S</ul><p>A<ul><li class="share">S<li>B</ul></article><p>out') == "A\n\nB"
+    assert extraction.main_text("<article><table><tr class=promo><td>q<tr><td class=ad>x<td>B</table><div class=ad>y</article><article>C</article>") == "B\n\nC"
+    assert extraction.main_text('<div class="content has-sidebar"><!-- <main> --><div class="sidebar">s</div><article><p>A</p></article></div>') == "A"
+    assert extraction.main_text('<aside><article>Teaser</article></aside><article>A<div class="comments"><article>Reader</article></div></article>') == "A"
+
+
 def test_extraction_frame(spark):
     frame = spark.createDataFrame([(1, "u", PAGE, 7), (1, "u", PAGE, 7), (2, None, None, 8)], "page_id long, url string, html string, n_chars int")
     rows = extraction.extract_pages(frame).collect()
