@@ -4,7 +4,8 @@ Each word's features (whole word if in the lexicon, prefixes and suffixes,
 character n-grams) give a score for each language; learned transitions join
 neighbouring words, and forward-backward gives each word's distribution in
 code-switched text. A document's language is the one with the largest share of
-its words, its score that share.
+its words, its score that share. A run of more than LONGEST letters (text
+without spaces) is read as several words.
 
 The model is fitted on the driver on a bounded sample of labelled rows
 (SAMPLE_DOCS for each of at most MAX_LANGUAGES languages, by a hash of the id),
@@ -35,6 +36,7 @@ SAMPLE_DOCS = 400
 MAX_LANGUAGES = 64
 DIMENSIONS = 1 << 17
 CHUNK = 128
+LONGEST = 40
 MAX_WORDS = 1_000_000
 UNKNOWN = "und"
 
@@ -42,7 +44,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """Runs of letters; longer ones as pieces of LONGEST letters that share two, so that no n-gram is missed."""
+    words = _WORD.findall((text or "").lower())
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    return [w[k : k + LONGEST] for w in words for k in range(0, max(1, len(w) - 2), LONGEST - 2)]
 
 
 @dataclass
@@ -56,7 +62,7 @@ class Model:
 def features_of(word: str, lexicon: frozenset[str]) -> list[int]:
     """Indices of a word's features; long words give more n-grams, so scores are averaged by the caller's weights."""
     n = len(word)
-    framed = f"^{word[:40]}$"
+    framed = f"^{word}$"
     names = [f"p{word[:k]}" for k in range(1, min(4, n) + 1)] + [f"s{word[-k:]}" for k in range(1, min(4, n) + 1)]
     names += {framed[k : k + 2] for k in range(len(framed) - 1)}
     names += {framed[k : k + 3] for k in range(len(framed) - 2)}

@@ -132,6 +132,19 @@ def test_language(spark, docs):
     assert {r.lang_pred for r in none} == {"und"}
 
 
+def test_long_runs_are_read_whole():
+    ends = "ab" * 20
+    model = language.fit([(ends + "cd" * 60 + ends, "x"), (ends + "ef" * 60 + ends, "y")] * 20)
+    for middle, label in (("cd", "x"), ("ef", "y")):
+        words = language.words_of(ends + middle * 500 + ends)
+        after = language.forward_backward(language.emissions(words, model), np.array([len(words)]), model.transitions)
+        assert model.labels[after.sum(0).argmax()] == label and after.mean(0).max() > 0.8
+    for n in (1, 39, 40, 41, 42, 78, 79, 500):
+        run = "".join(chr(0x4E00 + k) for k in range(n))
+        pieces = language.words_of(run)
+        assert {run[k : k + 3] for k in range(max(1, n - 2))} <= {w[k : k + 3] for w in pieces for k in range(len(w))} and max(map(len, pieces)) <= 40
+
+
 def test_code_switched_words():
     model = language.fit([("the house is on the hill and the river", "en"), ("das haus ist auf dem berg und der fluss", "de")] * 20)
     words = "the house is on the hill das haus ist auf dem berg".split()
