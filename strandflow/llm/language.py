@@ -8,8 +8,8 @@ its words, its score that share. A run of more than LONGEST letters (text
 without spaces) is read as several words.
 
 The model is fitted on the driver on a bounded sample of labelled rows
-(SAMPLE_DOCS for each of at most MAX_LANGUAGES languages, by a hash of the id),
-from which code-switched sequences are drawn so that transitions are learned.
+(SAMPLE_DOCS for each language, fewer if there are more than 64, by a hash of
+the id; every label is learned), from which code-switched sequences are drawn so that transitions are learned.
 Prediction reads whole texts: long texts are cut in chunks whose transfer
 matrices carry the exact messages from chunk to chunk.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from strandflow.llm.common import process_cache
 
 SAMPLE_DOCS = 400
-MAX_LANGUAGES = 64
+SAMPLE_ROWS, LEAST_DOCS = 64 * SAMPLE_DOCS, 8
 DIMENSIONS = 1 << 17
 CHUNK = 128
 LONGEST = 40
@@ -149,6 +149,7 @@ def fit(samples: list[tuple[str, str]], sequences: int = 2400, epochs: int = 2,
     lexicon = frozenset(w for w, n in counts.items() if n >= 3)
     rng = np.random.default_rng(seed)
     k = len(labels)
+    sequences = max(sequences, 40 * k)
     model = Model(labels, np.zeros((DIMENSIONS, k)), np.zeros((k, k)), lexicon)
     drawn = []
     for _ in range(sequences):
@@ -202,16 +203,15 @@ def fit(samples: list[tuple[str, str]], sequences: int = 2400, epochs: int = 2,
 
 
 def sample_labelled(docs: DataFrame, eligible, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang", per_label: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
-    """About per_label rows of each label, at most twice as many, chosen by a hash of the id."""
-    rows = docs.where(eligible & F.col(label_column).isNotNull() & F.col(text_column).isNotNull())
-    counts = rows.groupBy(label_column).count().orderBy(F.desc("count"), label_column).limit(MAX_LANGUAGES).collect()
+    """About per_label rows of each label (or its part of SAMPLE_ROWS, LEAST_DOCS at least), at most twice as many, chosen by a hash of the id; never none."""
+    share = F.pmod(F.xxhash64(F.lit(11), F.col(id_column)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    rows = docs.where(eligible & F.col(label_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(text_column).alias("text"), F.col(label_column).alias("label"), share.alias("share"))
+    counts = rows.groupBy("label").agg(F.count("*"), F.min("share")).collect()
     if not counts:
         return []
-    share = F.pmod(F.xxhash64(F.lit(11), F.col(id_column)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    chosen = F.lit(False)
-    for label, n in counts:
-        chosen = chosen | ((F.col(label_column) == label) & (share < per_label / n))
-    found = rows.where(chosen).select(text_column, label_column).limit(2 * per_label * len(counts)).collect()
+    per_label = min(per_label, max(LEAST_DOCS, SAMPLE_ROWS // len(counts)))
+    bounds = docs.sparkSession.createDataFrame([(label, max(least, per_label / n)) for label, n, least in counts], "label string, bound double")
+    found = rows.join(F.broadcast(bounds), "label").where("share <= bound").select("text", "label").limit(2 * per_label * len(counts)).collect()
     return sorted((r[0], r[1]) for r in found)
 
 
@@ -247,15 +247,16 @@ def _predict(model: Model | None, text_column: str, names: list[str]):
             return pa.record_batch([*[part.column(n) for n in names], pa.array(labels, pa.string()), pa.array(shares, pa.float64())], names=[*names, "lang_pred", "score"])
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                yield part_of(batch.slice(k, 1000))
+            for k in range(0, batch.num_rows, rows_at_once):
+                yield part_of(batch.slice(k, rows_at_once))
 
+    rows_at_once = max(1, min(1000, 1000 * 64**2 // len(model.labels) ** 2)) if model else 1000  # chunks hold labels x labels numbers
     token = zlib.crc32(model.weights.tobytes()) if model else 0
     return run
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str], text_column: str = "text") -> DataFrame:
-    """The columns to keep with lang_pred and score. The model is read by each task; its size is fixed by DIMENSIONS and MAX_LANGUAGES."""
+    """The columns to keep with lang_pred and score. The model is read by each task; its size is DIMENSIONS for each label."""
     rows = docs.select(*keep, F.col(text_column).alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
     return rows.mapInArrow(_predict(model, "_text", keep), f"{fields}, lang_pred string, score double")

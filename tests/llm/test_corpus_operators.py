@@ -145,6 +145,18 @@ def test_long_runs_are_read_whole():
         assert {run[k : k + 3] for k in range(max(1, n - 2))} <= {w[k : k + 3] for w in pieces for k in range(len(w))} and max(map(len, pieces)) <= 40
 
 
+def test_every_label_is_learned(spark):
+    texts = [" ".join(chr(0x4E00 + 40 * k + (7 * j + i) % 40) for i in range(30)) for k in range(70) for j in range(1 + (k < 66))]
+    labels = [f"l{k:02d}" for k in range(70) for j in range(1 + (k < 66))]
+    frame = spark.createDataFrame(list(zip(range(len(texts)), texts, labels, strict=True)), "doc_id long, text string, lang string")
+    samples = language.sample_labelled(frame, F.lit(True))
+    assert {label for _, label in samples} == set(labels)
+    model = language.fit(samples, epochs=1)
+    words = language.words_of(texts[-1])
+    after = language.forward_backward(language.emissions(words, model), np.array([len(words)]), model.transitions)
+    assert model.labels[after.sum(0).argmax()] == "l69"
+
+
 def test_code_switched_words():
     model = language.fit([("the house is on the hill and the river", "en"), ("das haus ist auf dem berg und der fluss", "de")] * 20)
     words = "the house is on the hill das haus ist auf dem berg".split()
