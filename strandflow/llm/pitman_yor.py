@@ -1,15 +1,16 @@
 """A hierarchical Pitman-Yor language model over words, with seating sampled by Gibbs.
 
-The restaurant of a token is the class of the word before it: FINE classes, of
-which FINE / COARSE share a parent (a class of word endings), whose parents
-share the root; the root's base is uniform over the known words and one unknown.
-A class has a fixed number, so the restaurants' totals have a fixed size, while
-the dishes (words) and their customers grow with the corpus.
+The restaurant of a token is the word before it. Its parent is the class of that
+word's ending, whose parent is the root; the root's base is uniform over the
+known words and one unknown. A restaurant's id has the class in its highest bits
+and 57 bits of the word's hash below.
 
 Work is dealt out by word: a shard holds all customers of its words on all three
 levels, so the seating of a word needs nothing of other shards but the totals of
 the restaurants, which are summed over the shards between sweeps (as in
-distributed Gibbs sampling). A sweep seats each word's customers anew: customer
+distributed Gibbs sampling): those of the words in a table dealt out by
+restaurant, from which each shard gets back its own; those of the classes and the
+root, of a fixed size, on the driver. A sweep seats each word's customers anew: customer
 i + 1 opens a table with odds (theta + d T) p_parent : (i - d t). The first
 EXACT customers are seated one by one, later ones in blocks that grow by a
 quarter, with the odds of the block's middle. Discounts come from the numbers of
@@ -20,7 +21,7 @@ logarithms.
 Tasks index blocks of documents and send each shard its tokens as compressed
 arrays, once. Words that hold over 1 / HOT of a block's tokens are counted in the
 block and scored there with probabilities that the shard returns, so a word with
-a third of all tokens costs no more than COARSE * FINE numbers a block. Shards
+a third of all tokens costs one number for each word before it in a block. Shards
 return sums for each document, not tokens.
 
 Null texts count as empty: the end alone. Rows with a null id are training rows.
@@ -38,9 +39,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import materialize
+from strandflow.llm.common import materialize, release
 
-COARSE, FINE = 64, 4096
+#: Classes of endings, and ids of restaurants: FINE // COARSE for each class.
+COARSE, FINE = 64, 1 << 63
 THETA = 1.0
 BURN_IN, SAMPLES = 1, 2
 EXACT = 16
@@ -50,10 +52,10 @@ SHARD_BYTES = 16 << 20
 END = b"\n"  # no word: words have no white space
 
 INDEX = (
-    "shard int, block long, words binary, doc binary, word binary, context binary, hot_words binary, hot_word binary, hot_context binary, hot_count binary, "
+    "shard int, block long, words binary, doc binary, word binary, contexts binary, context binary, hot_words binary, hot_word binary, hot_context binary, hot_count binary, "
     "ids array<long>, held binary, tokens binary, seen_doc binary, seen_word binary, seen_context binary, seen_count binary"
 )
-_ARRAYS = "words doc word context hot_words hot_word hot_context hot_count".split()
+_ARRAYS = "words doc word contexts context hot_words hot_word hot_context hot_count".split()
 _SEEN = "held tokens seen_doc seen_word seen_context seen_count".split()
 
 
@@ -104,11 +106,10 @@ def _index(shards: int, held_modulus: int, held_remainder: int):
         spelled = list(local)
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, spelled), np.uint64, len(spelled))
         endings = np.fromiter((zlib.crc32(w[-2:]) % COARSE for w in spelled), np.uint16, len(spelled))
-        classes = (endings * (FINE // COARSE) + (hashes % np.uint64(FINE // COARSE)).astype(np.uint16)).astype(np.uint16)
+        restaurants = endings.astype(np.int64) << 57 | (hashes >> np.uint64(7)).astype(np.int64)
         before = np.empty(len(token), np.uint32)
         before[0] = end
         before[1:] = token[:-1]  # the end of a document is what the next one starts after
-        context = classes[before]
         size = np.array(lengths)
         doc = np.repeat(np.arange(len(size), dtype=np.uint32), size)
         counts = np.bincount(token, minlength=len(spelled))
@@ -121,22 +122,25 @@ def _index(shards: int, held_modulus: int, held_remainder: int):
         rank[order] = np.arange(len(order))
         first = np.searchsorted(of[order], np.arange(shards + 1))
         cold = ~hot[token]
-        ct, cd, cc = token[cold], doc[cold], context[cold]
+        ct, cd, cc = token[cold], doc[cold], before[cold]
         by = np.argsort(of[ct].astype(np.uint16 if shards < 1 << 16 else np.uint32), kind="stable")
         ct, cd, cc = ct[by], cd[by], cc[by]
         cuts = np.searchsorted(of[ct], np.arange(shards + 1))
         # hot words: (word, context) pairs of the block with their training counts, and the documents' counts of them
-        ht, hd, hc = token[~cold].astype(np.int64), doc[~cold], context[~cold].astype(np.int64)
-        pair, where = np.unique(ht * FINE + hc, return_inverse=True)
+        ht, hd, hc = token[~cold].astype(np.int64), doc[~cold], before[~cold].astype(np.int64)
+        pair, where = np.unique(ht * len(spelled) + hc, return_inverse=True)
         train = np.bincount(where, held[hd] == 0, len(pair)).astype(np.uint32) if len(pair) else np.empty(0, np.uint32)
-        pair_word, pair_context = pair // FINE, (pair % FINE).astype(np.uint16)
+        pair_word, pair_context = pair // len(spelled), pair % len(spelled)
+        hot_order = np.argsort(of[pair_word], kind="stable")
+        hot_first = np.searchsorted(of[pair_word][hot_order], np.arange(shards + 1))
         seen, seen_count = np.unique(hd.astype(np.int64) << np.int64(32) | where, return_counts=True)
         rows = []
         for s in range(shards):
             a, b = cuts[s], cuts[s + 1]
-            mine = of[pair_word] == s
-            if a == b and not mine.any():
+            mine = hot_order[hot_first[s] : hot_first[s + 1]]
+            if a == b and not len(mine):
                 continue
+            here, at = np.unique(np.concatenate([cc[a:b], pair_context[mine]]), return_inverse=True)
             d = 2 * cd[a:b].astype(np.int64) + held[cd[a:b]]  # the held flag goes in the lowest bit
             rows.append(
                 {"shard": s, "block": number}
@@ -149,10 +153,11 @@ def _index(shards: int, held_modulus: int, held_remainder: int):
                                 hashes[order[first[s] : first[s + 1]]],
                                 _narrow(np.diff(d, prepend=0)),
                                 _narrow(rank[ct[a:b]] - first[s]),
-                                cc[a:b],
+                                restaurants[here],
+                                _narrow(at[: b - a]),
                                 hashes[pair_word[mine]],
-                                np.flatnonzero(mine).astype("<u4"),
-                                pair_context[mine],
+                                mine.astype("<u4"),
+                                _narrow(at[b - a :]),
                                 train[mine],
                             ),
                         ),
@@ -186,13 +191,13 @@ def _index(shards: int, held_modulus: int, held_remainder: int):
 
 
 STATE = (
-    "shard int, blocks array<long>, types_word binary, types_context binary, types_count binary, word_count binary, cuts binary, doc binary, type binary, hot_cuts binary, hot_type binary, hot_pair binary, "
+    "shard int, blocks array<long>, contexts binary, types_word binary, types_context binary, types_count binary, word_count binary, cuts binary, doc binary, type binary, hot_cuts binary, hot_type binary, hot_pair binary, "
     "block long, ids array<long>, held binary, tokens binary, seen_doc binary, seen_word binary, seen_context binary, seen_count binary"
 )
 
 
 def _build():
-    """A shard's blocks to its types (word, class) with training counts, and each token's type."""
+    """A shard's blocks to its types (word, word before) with training counts, and each token's type."""
     names = [x.split()[0] for x in STATE.split(", ")]
 
     def record(row: dict) -> pa.Table:
@@ -205,13 +210,16 @@ def _build():
             return pa.concat_tables([record({k: r[k] for k in ("shard", "block", "ids", *_SEEN)}) for r in rows])
         parts = [{k: _unpack(r[k]) for k in _ARRAYS} for r in rows]
         words = np.unique(np.concatenate([np.concatenate([p["words"], p["hot_words"]]) for p in parts]))
+        contexts = np.unique(np.concatenate([p["contexts"] for p in parts]))
+        width = len(contexts)
         keys, docs, cuts, hot_keys, hot_pairs, hot_cuts, hot_counts = [], [], [0], [], [], [0], []
         for p in parts:
             at = np.searchsorted(words, p["words"])
-            keys.append(at[p["word"]] * FINE + p["context"])
+            before = np.searchsorted(contexts, p["contexts"])
+            keys.append(at[p["word"]] * width + before[p["context"]])
             docs.append(np.cumsum(p["doc"].astype(np.int64)))
             cuts.append(cuts[-1] + len(p["word"]))
-            hot_keys.append(np.searchsorted(words, p["hot_words"]) * FINE + p["hot_context"])
+            hot_keys.append(np.searchsorted(words, p["hot_words"]) * width + before[p["hot_context"]])
             hot_pairs.append(p["hot_word"])
             hot_counts.append(p["hot_count"])
             hot_cuts.append(hot_cuts[-1] + len(p["hot_word"]))
@@ -224,8 +232,9 @@ def _build():
         row = {
             "shard": rows[0]["shard"],
             "blocks": [r["block"] for r in rows],
-            "types_word": _pack((types // FINE).astype("<u4")),
-            "types_context": _pack((types % FINE).astype("<u2")),
+            "contexts": _pack(contexts),
+            "types_word": _pack((types // width).astype("<u4")),
+            "types_context": _pack((types % width).astype("<u4")),
             "types_count": _pack(count.astype("<u4")),
             "cuts": _pack(np.array(cuts, "<i8")),
             "doc": _pack(_narrow(doc >> 1)),
@@ -263,12 +272,17 @@ def sample_tables(customers: np.ndarray, odds: np.ndarray, discount: float, rng:
 
 
 class Shard:
-    """A shard's customers and tables on three levels. totals: what all shards sum to, for each sweep so far."""
+    """A shard's customers and tables on three levels, by the restaurants' ids.
+
+    Totals are (customers, tables) of the shard's own restaurants over all shards, and a vector of the classes and the root.
+    """
 
     def __init__(self, number: int, word: np.ndarray, context: np.ndarray, count: np.ndarray) -> None:
-        self.number, self.context, self.count = number, context.astype(np.int64), count.astype(np.float64)
+        self.number, self.count = number, count.astype(np.float64)
+        self.contexts, self.at = np.unique(context.astype(np.int64), return_inverse=True)
+        self.group = self.contexts // (FINE // COARSE)
         self.words = int(word.max()) + 1 if len(word) else 0
-        pairs, self.pair = np.unique(word.astype(np.int64) * COARSE + self.context // (FINE // COARSE), return_inverse=True)
+        pairs, self.pair = np.unique(word.astype(np.int64) * COARSE + self.group[self.at], return_inverse=True)
         self.pair_word, self.pair_class = pairs // COARSE, pairs % COARSE
         self.word = word.astype(np.int64)
         self.fine = (self.count > 0).astype(np.float64)
@@ -281,53 +295,74 @@ class Shard:
         self.word_count = np.bincount(self.pair_word, self.coarse, self.words)
         self.root = (self.word_count > 0).astype(np.float64) if root is None else root(self.word_count)
 
-    def totals(self) -> np.ndarray:
+    def totals(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         once = [x for c in (self.count, self.pair_count, self.word_count) for x in ((c == 1).sum(), (c == 2).sum())]
         words = np.bincount(self.word, self.count, self.words)
-        return np.concatenate(
-            [
-                np.bincount(self.context, self.count, FINE),
-                np.bincount(self.context, self.fine, FINE),
-                np.bincount(self.pair_class, self.coarse, COARSE),
-                [self.root.sum(), (words > 0).sum(), words.sum(), *once],
-            ]
-        )
+        tables = np.bincount(self.at, self.fine, len(self.contexts))
+        classes = [np.bincount(self.group, tables, COARSE), np.bincount(self.pair_class, self.coarse, COARSE)]
+        return np.bincount(self.at, self.count, len(self.contexts)), tables, np.concatenate([*classes, [self.root.sum(), (words > 0).sum(), words.sum(), *once]])
 
-    def predictive(self, all_shards: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, "Totals"]:
+    def predictive(self, all_shards: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, "Totals"]:
         """Probability of each word at the root, each pair at its class, each type at its restaurant."""
-        x = Totals(all_shards)
+        x = Totals(self.contexts, *all_shards)
         p0 = (self.word_count - x.d[2] * self.root * (self.word_count > 0) + (THETA + x.d[2] * x.root_tables) / (x.known + 1)) / (THETA + x.root_customers)
         p1 = (self.pair_count - x.d[1] * self.coarse + (THETA + x.d[1] * x.coarse_tables[self.pair_class]) * p0[self.pair_word]) / (THETA + x.coarse_customers[self.pair_class])
-        p2 = (self.count - x.d[0] * self.fine + (THETA + x.d[0] * x.fine_tables[self.context]) * p1[self.pair]) / (THETA + x.fine_customers[self.context])
+        p2 = (self.count - x.d[0] * self.fine + (THETA + x.d[0] * x.fine_tables.values[self.at]) * p1[self.pair]) / (THETA + x.fine_customers.values[self.at])
         return p0, p1, p2, x
 
-    def sweep(self, all_shards: np.ndarray, step: int) -> None:
+    def sweep(self, all_shards: tuple, step: int) -> None:
         rng = np.random.default_rng([self.number, step])
         p0, p1, _, x = self.predictive(all_shards)
-        self.fine = sample_tables(self.count, (THETA + x.d[0] * x.fine_tables[self.context]) * p1[self.pair], x.d[0], rng)
+        self.fine = sample_tables(self.count, (THETA + x.d[0] * x.fine_tables.values[self.at]) * p1[self.pair], x.d[0], rng)
         self._upward(
             lambda c: sample_tables(c, (THETA + x.d[1] * x.coarse_tables[self.pair_class]) * p0[self.pair_word], x.d[1], rng),
             lambda c: sample_tables(c, np.full(len(c), (THETA + x.d[2] * x.root_tables) / (x.known + 1)), x.d[2], rng),
         )
 
 
+class ById:
+    """A number for each restaurant, by its id."""
+
+    def __init__(self, ids: np.ndarray, values: np.ndarray) -> None:
+        self.ids, self.values = ids, values
+
+    def __getitem__(self, wanted):
+        return self.values[np.searchsorted(self.ids, wanted)]
+
+
 class Totals:
-    def __init__(self, v: np.ndarray) -> None:
-        self.fine_customers, self.fine_tables, self.coarse_tables = v[:FINE], v[FINE : 2 * FINE], v[2 * FINE : 2 * FINE + COARSE]
-        self.root_tables, self.known, self.tokens, *once = v[2 * FINE + COARSE :]
-        self.coarse_customers = self.fine_tables.reshape(COARSE, -1).sum(1)
+    def __init__(self, contexts: np.ndarray, customers: np.ndarray, tables: np.ndarray, v: np.ndarray) -> None:
+        self.fine_customers, self.fine_tables = ById(contexts, customers), ById(contexts, tables)
+        self.coarse_customers, self.coarse_tables = v[:COARSE], v[COARSE : 2 * COARSE]
+        self.root_tables, self.known, self.tokens, *once = v[2 * COARSE :]
         self.root_customers = self.coarse_tables.sum()
         self.d = [min(0.95, max(0.05, one / max(1.0, one + 2 * two))) for one, two in zip(once[::2], once[1::2], strict=True)]
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Shard]]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            row = batch.slice(k, 1).to_pylist()[0]
-            yield row, Shard(row["shard"], *(_unpack(row[n]) for n in ("types_word", "types_context", "types_count")))
+def _dealt(contexts: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of a shard's restaurants by bucket, and where each bucket starts."""
+    order = np.argsort(contexts % buckets, kind="stable")
+    return order, np.searchsorted(contexts[order] % buckets, np.arange(buckets + 1))
+
+
+def _meet(left: pa.Table, right: pa.Table, shared: list[np.ndarray], buckets: int) -> Iterator[tuple[dict, Shard, list[tuple]]]:
+    """Each shard with its history: the totals of its restaurants after each sweep so far."""
+    for row in left.to_pylist():
+        contexts = _unpack(row["contexts"])
+        shard = Shard(row["shard"], _unpack(row["types_word"]), contexts[_unpack(row["types_context"])], _unpack(row["types_count"]))
+        found = sorted(right.to_pylist(), key=lambda r: (r["step"], r["bucket"]))
+        order, _ = _dealt(contexts, buckets)
+        history, customers = [], np.empty(len(contexts))
+        for step, v in enumerate(shared):
+            parts, tables = [r for r in found if r["step"] == step], np.empty(len(contexts))
+            tables[order] = np.concatenate([_unpack(r["tables"]) for r in parts])
+            if not step:
+                customers[order] = np.concatenate([_unpack(r["customers"]) for r in parts])
+            history.append((customers, tables, v))
+        yield row, shard, history
 
 
-def averaged(shard: Shard, history: list[np.ndarray]) -> np.ndarray:
+def averaged(shard: Shard, history: list[tuple]) -> np.ndarray:
     """Predictive probabilities, averaged over the seatings after the burn-in. history[k] has the totals after k sweeps."""
     mean = 0.0
     for step, totals in enumerate(history):
@@ -338,13 +373,50 @@ def averaged(shard: Shard, history: list[np.ndarray]) -> np.ndarray:
     return mean
 
 
-def _totals(history: list[np.ndarray]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, shard in _shards(batches):
+SENT = "bucket int, shard int, ids binary, customers binary, tables binary, shared binary"
+RETURNED = "shard int, step int, bucket int, customers binary, tables binary"
+
+
+def _totals(shared: list[np.ndarray], buckets: int):
+    """A shard's own sums after one more sweep: a row for each bucket of its restaurants, one (bucket -1) for the rest."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        for _, shard, history in _meet(left, right, shared, buckets):
             for step, totals in enumerate(history):
                 shard.sweep(totals, step)
-            v = shard.totals()
-            yield pa.record_batch([pa.array(range(len(v)), pa.int32()), pa.array(v, pa.float64())], names=["place", "amount"])
+            customers, tables, v = shard.totals()
+            order, first = _dealt(shard.contexts, buckets)
+            rows.append({"bucket": -1, "shard": shard.number, "shared": _pack(v)})
+            for b in range(buckets):
+                at = order[first[b] : first[b + 1]]
+                if len(at):
+                    row = {"bucket": b, "shard": shard.number, "ids": _pack(np.diff(shard.contexts[at], prepend=0)), "tables": _pack(_narrow(tables[at]))}
+                    rows.append(row if history else row | {"customers": _pack(_narrow(customers[at]))})
+        return pa.Table.from_pylist(rows, _arrow(SENT))
+
+    return run
+
+
+def _arrow(fields: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "binary": pa.binary()}
+    return pa.schema([(n, kinds[t]) for n, t in (x.split() for x in fields.split(", "))])
+
+
+def _merge(step: int):
+    """A bucket's rows of all shards to the sums over them, for each shard in the order it sent."""
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        ids = [np.cumsum(_unpack(r["ids"])) for r in rows]
+        at = np.unique(np.concatenate(ids), return_inverse=True)[1]
+        cuts = np.cumsum([0, *map(len, ids)])
+        out = [{"shard": r["shard"], "step": step, "bucket": r["bucket"]} for r in rows]
+        for name in ("tables",) if step else ("tables", "customers"):
+            sums = np.bincount(at, np.concatenate([_unpack(r[name]) for r in rows]))
+            for r, a, b in zip(out, cuts, cuts[1:], strict=False):
+                r[name] = _pack(_narrow(sums[at[a:b]]))
+        return pa.Table.from_pylist(out, _arrow(RETURNED))
 
     return run
 
@@ -352,19 +424,19 @@ def _totals(history: list[np.ndarray]):
 PARTS = "block long, doc binary, score binary, base binary, known binary, pair binary, pair_score binary, pair_base binary, pair_known binary, ids array<long>, held binary, tokens binary, seen_doc binary, seen_word binary, seen_count binary, seen_context binary"
 
 
-def _score(history: list[np.ndarray]):
+def _score(shared: list[np.ndarray], buckets: int):
     names = [x.split()[0] for x in PARTS.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        final = Totals(history[-1])
-        for row, shard in _shards(batches):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for row, shard, history in _meet(left, right, shared, buckets):
+            final = Totals(shard.contexts, *history[-1])
             score = np.log10(averaged(shard, history))
             counts = np.bincount(shard.word, shard.count, shard.words)
             base = np.log10((counts + 1) / (final.tokens + final.known + 1))[shard.word]
             known = (counts > 0)[shard.word]
             doc, kind, cuts = (_unpack(row[n]) for n in ("doc", "type", "cuts"))
             hot_type, hot_pair, hot_cuts = (_unpack(row[n]) for n in ("hot_type", "hot_pair", "hot_cuts"))
-            out = []
             for block, a, b, c, d in zip(row["blocks"], cuts, cuts[1:], hot_cuts, hot_cuts[1:], strict=False):
                 n = int(doc[a:b].max(initial=0)) + 1
                 docs = np.flatnonzero(np.bincount(doc[a:b], minlength=n))
@@ -374,7 +446,7 @@ def _score(history: list[np.ndarray]):
                     part["pair_" + name] = value[hot_type[c:d]].astype(dtype)
                 part["pair"] = hot_pair[c:d]
                 out.append({"block": block} | {k: _pack(v) for k, v in part.items()})
-            yield _record(names, out)
+        return pa.Table.from_batches([_record(names, out)])
 
     return run
 
@@ -417,15 +489,19 @@ def score_documents(docs: DataFrame, held_modulus: int = 7, held_remainder: int
     shards = max(4, -(-size // SHARD_BYTES))
     state = materialize(source.mapInArrow(_index(shards, held_modulus, held_remainder), INDEX).groupBy("shard").applyInArrow(_build(), STATE), "seating")
     words = state.where("types_word is not null")
-    history: list[np.ndarray] = []
-    for _ in range(1 + BURN_IN + SAMPLES):
-        # FINE + FINE + COARSE + 9 numbers, whatever the input's size
-        summed = words.select("shard", "types_word", "types_context", "types_count").mapInArrow(_totals(list(history)), "place int, amount double").groupBy("place").agg(F.sum("amount"))
-        v = np.zeros(2 * FINE + COARSE + 9)
-        for place, amount in summed.collect():
-            v[place] = amount
-        history.append(v)
-    sums = words.select("shard", "types_word", "types_context", "types_count", "blocks", "doc", "type", "cuts", "hot_type", "hot_pair", "hot_cuts").mapInArrow(_score(history), PARTS)
+    buckets = max(4, shards // 2)
+    types = words.select("shard", "contexts", "types_word", "types_context", "types_count")
+    history = docs.sparkSession.createDataFrame([], RETURNED)
+    shared: list[np.ndarray] = []
+    for step in range(1 + BURN_IN + SAMPLES):
+        sent = materialize(types.groupBy("shard").cogroup(history.groupBy("shard")).applyInArrow(_totals(list(shared), buckets), SENT), "tables")
+        # 2 * COARSE + 9 numbers of each shard
+        shared.append(sum((_unpack(r[0]) for r in sent.where("bucket < 0").select("shared").collect()), np.zeros(2 * COARSE + 9)))
+        returned = materialize(sent.where("bucket >= 0").groupBy("bucket").applyInArrow(_merge(step), RETURNED), "totals")
+        release(sent)
+        history = history.unionByName(returned) if step else returned
+    tokens = words.select("shard", "contexts", "types_word", "types_context", "types_count", "blocks", "doc", "type", "cuts", "hot_type", "hot_pair", "hot_cuts")
+    sums = tokens.groupBy("shard").cogroup(history.groupBy("shard")).applyInArrow(_score(shared, buckets), PARTS)
     own = state.where("held is not null").select([F.col(n) if n in ("block", "ids", *_SEEN) else F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in PARTS.split(", "))])
     result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return sums.unionByName(own).groupBy("block").applyInArrow(_sum(int(Totals(history[0]).tokens)), result)
+    return sums.unionByName(own).groupBy("block").applyInArrow(_sum(int(shared[0][2 * COARSE + 2])), result)

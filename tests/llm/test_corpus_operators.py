@@ -219,6 +219,13 @@ def test_the_model_is_a_distribution():
         assert p2[context == c].sum() + unknown2 == pytest.approx(1)
 
 
+def test_each_word_has_its_own_restaurant(spark):
+    """3000 words of one ending, each before one word of its own: the model knows which."""
+    rows = [(i, f"w{i % 3000}ab s{i % 3000}") for i in range(18_000)]
+    found = pitman_yor.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out and n_known = 3").agg(F.avg("score")).first()[0]
+    assert found > math.log10(1 / 3000) - 1
+
+
 def test_tables_follow_their_law():
     """Exact seating of the first customers: three customers with odds w open 1 + two Bernoulli tables."""
     rng = np.random.default_rng(0)
