@@ -1,4 +1,4 @@
-"""A hierarchical Pitman-Yor language model over words, with seating sampled by Gibbs.
+"""A hierarchical Pitman-Yor language model over words, with sampled sequential seating.
 
 The restaurant of a token is the word before it. Its parent is the class of that
 word's ending, whose parent is the root; the root's base is uniform over the
@@ -7,8 +7,7 @@ and 57 bits of the word's hash below.
 
 Work is dealt out by word: a shard holds all customers of its words on all three
 levels, so the seating of a word needs nothing of other shards but the totals of
-the restaurants, which are summed over the shards between sweeps (as in
-distributed Gibbs sampling): those of the words in a table dealt out by
+the restaurants, which are summed over the shards between sweeps: those of the words in a table dealt out by
 restaurant, from which each shard gets back its own; those of the classes and the
 root, of a fixed size, on the driver. A sweep seats each word's customers anew: customer
 i + 1 opens a table with odds (theta + d T) p_parent : (i - d t). The first
