@@ -1,22 +1,28 @@
 """Byte-level BPE encoding and decoding with Spark higher-order functions.
 
 Each task cuts its documents into the pattern's matches and hands Spark one row
-per block of documents: the block's new distinct words and, per document, the
-indices of its words. Spark folds the ranked merges over each word's byte array
-(as the bytes' ids). The ranks are a literal array, a hash table whose entries
-hold two neighbouring ids and the id that they make, since a map literal would be
-searched from end to end; each pair has one of two places, so a look-up is two
-reads and no branch. The decoded bytes are the concatenated pieces of the ids. A
-last step puts the ids of a document's words in order. There is no shuffle; a
-task keeps at most MAX_WORDS distinct words and starts anew beyond that.
+per block of documents (BLOCK_BYTES of text): the block's distinct words and, per
+document, the indices of its words. Spark folds the ranked merges over each word's
+byte array (as the bytes' ids) beside what neighbours make, of which a merge
+changes two. The ranks are literal arrays, since a map literal would be
+searched from end to end: a left id's displacement and a right id lead to one
+entry, which holds the left id again and the id that the two make. The decoded
+bytes are the concatenated pieces of the ids. A last step puts the ids of a
+document's words in order. Blocks stand alone and there is no shuffle.
+
+The fold's work grows with the square of a word's length, so words of over LONGEST
+bytes are merged by a heap over a linked list in the block's task instead, by the
+same ranks and with the same result.
 
 Null texts count as empty; an empty text has no ids. Repeated rows are each
-encoded. Other columns of the input are ignored.
+encoded. An empty table gives an empty result. Other columns of the input are
+ignored, whatever their names. A text may exceed a block; it is never cut.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 import re
 from array import array
@@ -28,15 +34,17 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 2 << 20
-#: Text of a task: a large task meets fewer new words than its parts would.
-TASK_BYTES = 48 << 20
-MAX_WORDS = 700_000
-MAX_CHUNKS = 100_000
-#: Sizes of the two halves' hash functions (primes), for tables of up to about 70,000 merges.
-FIRST, SECOND, FACTOR, OFFSET = 179_999, 179_989, 40_503, 17
-#: An entry that differs from every pair above its lowest 16 bits.
-EMPTY = 1 << 49
+from strandflow.llm.common import trim
+
+BLOCK_BYTES = 8 << 20
+#: Bytes of a word that the fold merges; longer ones go to the heap.
+LONGEST = 64
+OUT_BYTES = 4 << 20
+#: Ids take 16 bits; a look-up that finds no merge leaves more.
+IDS = 1 << 16
+#: An entry that differs from every left id above its lowest 16 bits, and the last element's upper bits.
+EMPTY = 1 << 33
+LAST = 1 << 60
 
 #: A space between two characters that are surely not white space always starts a match.
 _LOOSE = re.compile(r" \s|\s |^ | $")
@@ -72,31 +80,68 @@ def last_merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
     return parts[0], parts[1]
 
 
-def rank_table(ranks: dict[bytes, int]) -> list[int]:
-    """A cuckoo hash table of pair << 16 | made, where pair is left << 16 | right; ids need 16 bits."""
-    if max(ranks.values()) >= 1 << 16:
+def rank_table(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
+    """Displacements of left ids, and entries left << 16 | made: that of two neighbours is at displacement + right.
+
+    Rows (the right ids of one left id) are laid over each other, the widest
+    first, each at the first displacement where it meets no other.
+    """
+    if max(ranks.values()) >= IDS:
         raise ValueError("ids over 16 bits")
-    table: list[tuple[int, int] | None] = [None] * FIRST
+    rows: dict[int, list[tuple[int, int]]] = {}
     for piece, made in ranks.items():
-        if len(piece) == 1:
-            continue
-        left, right = last_merge(piece, ranks)
-        entry, pair = (ranks[left] << 16 | ranks[right], made), ranks[left] << 16 | ranks[right]
-        at = pair % FIRST
-        for _ in range(1000):
-            entry, table[at] = table[at], entry
-            if entry is None:
+        if len(piece) > 1:
+            left, right = last_merge(piece, ranks)
+            rows.setdefault(ranks[left], []).append((ranks[right], made))
+    used = np.zeros(4 * IDS, bool)
+    entries = np.full(4 * IDS, EMPTY, np.int64)
+    moved = [0] * (max(ranks.values()) + 1)
+    last, start, wide = 0, 0, 1 << 30
+    for left, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
+        right, made = (np.array(x) for x in zip(*row, strict=True))
+        if len(right) < wide:  # what has no room for its first id stays so for rows as wide
+            start, wide = 0, len(right)
+        at = start
+        while True:
+            free = np.flatnonzero(~used[(at + np.arange(4096))[:, None] + right[None, :]].any(1)) if len(right) > 1 else np.flatnonzero(~used[at + right[0] : at + right[0] + 4096])
+            if len(free):
                 break
-            places = entry[0] % FIRST, (entry[0] * FACTOR + OFFSET) % SECOND
-            at = places[1] if at == places[0] else places[0]
-        else:
-            raise ValueError("the table is too full")
-    return [EMPTY if x is None else x[0] << 16 | x[1] for x in table]
-
-
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """rank_table() as an array that Spark folds into one literal."""
-    return F.from_json(F.lit(json.dumps(rank_table(ranks))), "array<bigint>")
+            at += 4096
+        at += int(free[0])
+        start = at if len(right) > 4 else max(0, at - IDS // 2)
+        used[at + right] = True
+        entries[at + right] = left << 16 | made
+        moved[left], last = at, max(last, at)
+    return moved, entries[: last + IDS].tolist()
+
+
+def rank_literals(ranks: dict[bytes, int]) -> tuple[Column, Column]:
+    """rank_table() as arrays that Spark folds into literals."""
+    moved, entries = rank_table(ranks)
+    return F.from_json(F.lit(json.dumps(moved)), "array<bigint>"), F.from_json(F.lit(json.dumps(entries)), "array<bigint>")
+
+
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one word by a heap of neighbours over a linked list, for words of any length."""
+    parts: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
+    after = list(range(1, len(parts) + 1))
+    before = list(range(-1, len(parts) - 1))
+    heap = [(ranks[x], i) for i in range(len(parts) - 1) if (x := word[i : i + 2]) in ranks]
+    heapq.heapify(heap)
+    while heap:
+        rank, i = heapq.heappop(heap)
+        j = after[i]
+        if parts[i] is None or j == len(parts) or ranks.get(parts[i] + parts[j]) != rank:
+            continue  # one of the two is merged already
+        parts[i], parts[j] = parts[i] + parts[j], None
+        after[i] = k = after[j]
+        if k < len(parts):
+            before[k] = i
+            if (r := ranks.get(parts[i] + parts[k])) is not None:
+                heapq.heappush(heap, (r, i))
+        if (k := before[i]) >= 0 and (r := ranks.get(parts[k] + parts[i])) is not None:
+            heapq.heappush(heap, (r, k))
+    return [ranks[x] for x in parts if x is not None]
 
 
 def piece_literal(ranks: dict[bytes, int]) -> Column:
@@ -112,29 +157,46 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def encode_word(word: Column, table: Column) -> Column:
+def encode_word(word: Column, moved: Column, entries: Column) -> Column:
     """Fold the ranked merges over one word, an array of its bytes' ids, to the array of its ids.
 
-    Each step looks up every two neighbours and merges the first of the lowest
-    rank. An entry and a pair that agree leave the made id, which is below
-    65536; any others leave more. Once nothing merges, a last -1 says so to the
-    steps that remain.
+    An element holds an id in its lowest 16 bits, where it starts in the next 8,
+    and above them what it makes with the next one (IDS or more: nothing). A step
+    takes the least element, which is the first of the lowest rank, drops the next
+    and looks up the new id's two neighbours. (No array_position: it leaves its
+    loop by an exception.) A negative word (ids as -1 - id) is merged already.
     """
 
-    def entry(at: Column, pair: Column) -> Column:
-        return F.get(table, at.cast("int")).bitwiseXOR(pair * 65536)
+    def made(left: Column, right: Column) -> Column:
+        found = F.get(entries, (F.get(moved, left.cast("int")) + right).cast("int")).bitwiseXOR(F.shiftleft(left, 16))
+        return F.shiftleft(found, 24)
+
+    def id_of(x: Column) -> Column:
+        return x.bitwiseAND(IDS - 1)
 
-    def step(p: Column, _: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: F.get(p, i) * 65536 + F.get(p, i + 1))
-        made = F.transform(pairs, lambda k: F.least(entry(k % FIRST, k), entry((k * FACTOR + OFFSET) % SECOND, k)))
+    def merge(q: Column, low: Column) -> Column:
+        new = F.shiftright(low, 24)
+        place = low.bitwiseAND(255 << 16).bitwiseOR(new)
 
-        def merge(r: Column, low: Column) -> Column:
-            return _let(F.array_position(r, low), lambda at: F.transform(F.filter(p, lambda x, i: i != at), lambda x, i: F.when(i == at - 1, low).otherwise(x)))
+        def moved_on(kept: Column) -> Column:
+            def changed(x: Column, i: Column) -> Column:
+                after = F.get(kept, i + 1)
+                joined = F.when(after.isNull(), place.bitwiseOR(LAST)).otherwise(place.bitwiseOR(made(new, id_of(after))))
+                return F.when(x == low, joined).when(after.eqNullSafe(low), x.bitwiseAND((1 << 24) - 1).bitwiseOR(made(id_of(x), new))).otherwise(x)
 
-        merged = _let(made, lambda r: _let(F.array_min(r), lambda low: F.when(low >= 65536, F.concat(p, F.array(F.lit(-1).cast("long")))).otherwise(merge(r, low))))
-        return F.when((F.size(p) < 2) | (F.element_at(p, -1) < 0), p).otherwise(merged)
+            return F.transform(kept, changed)
 
-    return F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(word), F.lit(2))), word, step, lambda p: F.filter(p, lambda x: x >= 0))
+        return _let(F.filter(q, lambda x, i: ~F.get(q, i - 1).eqNullSafe(low)), moved_on)
+
+    def step(q: Column, _: Column) -> Column:
+        return _let(F.array_min(q), lambda low: F.when(low >= IDS << 24, q).otherwise(merge(q, low)))
+
+    def begin(x: Column, i: Column) -> Column:
+        pair = F.when(i == F.size(word) - 1, F.lit(LAST)).otherwise(made(x, F.get(word, i + 1)))
+        return pair.bitwiseOR(F.shiftleft(i.cast("long"), 16)).bitwiseOR(x)
+
+    folded = F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(word), F.lit(2))), F.transform(word, begin), step, lambda q: F.transform(q, id_of))
+    return F.when(F.get(word, F.lit(0)) < 0, F.transform(word, lambda x: -1 - x)).otherwise(folded)
 
 
 def decode_word(ids: Column, pieces: Column) -> Column:
@@ -142,97 +204,93 @@ def decode_word(ids: Column, pieces: Column) -> Column:
     return F.array_join(F.transform(ids, lambda i: F.get(pieces, i.cast("int"))), "")
 
 
-def _blocks(pattern: str, byte_ranks: list[int], id_column: str, text_column: str):
-    """Documents to blocks: new distinct words, and per document the words' indices in the task's list."""
-    ranks = np.array(byte_ranks, np.int64)
+def _blocks(pattern: str, ranks: dict[bytes, int], id_column: str, text_column: str):
+    """Documents to blocks: distinct words, and per document the words' indices among them."""
+    byte_ranks = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = word_pattern(pattern).findall
         words: dict[str, int] = {}
-        fresh, ids, rows, held, start = [], [], [], 0, 0
+        ids, rows, held = [], [], 0
 
         def number(word: str) -> int:
-            at = words.get(word)
-            if at is None:
-                at = words[word] = len(words)
-                fresh.append(word)
-            return at
+            return words.setdefault(word, len(words))
 
         class Chunks(dict):
             """The indices of a chunk's words; a chunk stands for itself with the space before it."""
 
             def __missing__(self, chunk: str) -> bytes:
-                self[chunk] = out = array("I", map(number, match(" " + chunk))).tobytes()
+                self[chunk] = out = array("I", [number(" " + chunk)] if plain and chunk.isalpha() else map(number, match(" " + chunk))).tobytes()
                 return out
 
         chunks = Chunks()
+        plain = match(" ab") == [" ab"] and match(" \u00e9\u4e00") == [" \u00e9\u4e00"]  # the pattern takes a space and letters whole
 
         def block() -> pa.RecordBatch:
-            spelled = [w.encode() for w in fresh]
-            ends = np.cumsum([0, *map(len, spelled)]).astype(np.int32)
-            values = ranks[np.frombuffer(b"".join(spelled), np.uint8)]
-            coded = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+            spelled = [w.encode() for w in words]
+            if max(map(len, spelled), default=0) > LONGEST:
+                parts = [byte_ranks[np.frombuffer(w, np.uint8)] if len(w) <= LONGEST else -1 - np.array(merge_long(w, ranks)) for w in spelled]
+                ends, values = np.cumsum([0, *map(len, parts)]), np.concatenate(parts)
+            else:
+                ends, values = np.cumsum([0, *map(len, spelled)]), byte_ranks[np.frombuffer(b"".join(spelled), np.uint8)]
+            listed = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
             docs = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.binary())], names=["id", "words"])
             return pa.record_batch(
-                [pa.array([start], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(spelled)], pa.int32()), coded), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), docs)],
-                names=["start", "words", "docs"],
+                [pa.ListArray.from_arrays(pa.array([0, len(spelled)], pa.int32()), listed), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), docs)],
+                names=["words", "docs"],
             )
 
         for batch in batches:
-            for key, text in zip(batch.column(id_column).to_pylist(), batch.column(text_column).to_pylist(), strict=True):
-                ids.append(key)
+            for key, text in zip(batch.column(id_column), batch.column(text_column), strict=True):
+                ids.append(key.as_py())
+                text = text.as_py()
                 if text:
                     first, *rest = chunks_of(text)
                     rows.append(array("I", map(number, match(first))).tobytes() + b"".join(map(chunks.__getitem__, rest)))
+                    held += len(text)
                 else:
                     rows.append(b"")
-                held += len(text or "") + 64
-                if len(chunks) > MAX_CHUNKS:
-                    chunks.clear()
+                held += 64
                 if held >= BLOCK_BYTES:
                     yield block()
-                    fresh, ids, rows, held, start = [], [], [], 0, len(words)
-                    if len(words) >= MAX_WORDS:
-                        words.clear()
-                        chunks.clear()
-                        start = 0
+                    words.clear()
+                    chunks.clear()
+                    ids, rows, held = [], [], 0
         if ids:
             yield block()
+        trim()
 
     return run
 
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words' ids and pieces, put in each document's order."""
-    symbols: list[bytes] = []
-    decoded: list[bytes] = []
     for batch in batches:
         for k in range(batch.num_rows):
-            start, ids, pieces, docs = (batch.column(n)[k] for n in ("start", "ids", "pieces", "docs"))
-            if start.as_py() == 0:
-                symbols, decoded = [], []
-            if ids.values is not None and len(ids.values):
-                flat = ids.values
-                offsets = flat.offsets.to_numpy()
-                ends = ((offsets - offsets[0]) * 4).tolist()
-                raw = flat.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-                symbols += [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-                decoded += [x.encode("latin-1") for x in pieces.values.to_pylist()]
-            out = []
-            for key, words in zip(docs.values.field("id").to_pylist(), docs.values.field("words").to_pylist(), strict=True):
-                at = array("I", words).tolist()
+            words, pieces, docs = (batch.column(n)[k].values for n in ("ids", "pieces", "docs"))
+            offsets = words.offsets.to_numpy()
+            ends = ((offsets - offsets[0]) * 4).tolist()
+            raw = words.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+            symbols = [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+            decoded = [x.encode("latin-1") for x in pieces.to_pylist()]
+            out, held = [], 0
+            for key, own in zip(docs.field("id").to_pylist(), docs.field("words"), strict=True):
+                at = array("I", own.as_py()).tolist()
                 raw = b"".join(map(symbols.__getitem__, at))
                 out.append((key, len(raw) // 4, raw, b"".join(map(decoded.__getitem__, at))))
-                if len(out) == 256:
-                    yield from _rows(out)
-                    out = []
+                held += len(raw)
+                if held > OUT_BYTES or len(out) == 256:
+                    yield _rows(out)
+                    out, held = [], 0
             if out:
-                yield from _rows(out)
+                yield _rows(out)
+            symbols = decoded = raw = None
+    trim()
 
 
-def _rows(out: list[tuple]) -> Iterator[pa.RecordBatch]:
+def _rows(out: list[tuple]) -> pa.RecordBatch:
     keys, sizes, raws, texts = zip(*out, strict=True)
-    yield pa.record_batch(
+    return pa.record_batch(
         [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(raws, pa.binary()), pa.array(texts, pa.binary())],
         names=["doc_id", "n_tokens", "ids", "decoded"],
     )
@@ -241,14 +299,9 @@ def _rows(out: list[tuple]) -> Iterator[pa.RecordBatch]:
 def encode_documents(docs: DataFrame, rank_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and decoded bytes of each document."""
     ranks = read_ranks(rank_path)
-    rows = docs.select(id_column, text_column)
-    size = rows.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
-    rows = rows.coalesce(max(-(-size // TASK_BYTES), docs.sparkSession.sparkContext.defaultParallelism))
-    blocks = rows.mapInArrow(
-        _blocks(pattern, [ranks[bytes([b])] for b in range(256)], id_column, text_column),
-        "start long, words array<array<bigint>>, docs array<struct<id:long,words:binary>>",
-    )
-    table, pieces = rank_literal(ranks), piece_literal(ranks)
-    coded = blocks.select("start", "docs", F.transform("words", lambda w: encode_word(w, table)).alias("ids"))
-    coded = coded.select("start", "ids", F.transform("ids", lambda i: decode_word(i, pieces)).alias("pieces"), "docs")
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    blocks = rows.mapInArrow(_blocks(pattern, ranks, "doc_id", "text"), "words array<array<bigint>>, docs array<struct<id:long,words:binary>>")
+    (moved, entries), pieces = rank_literals(ranks), piece_literal(ranks)
+    coded = blocks.select("docs", F.transform("words", lambda w: encode_word(w, moved, entries)).alias("ids"))
+    coded = coded.select("ids", F.transform("ids", lambda i: decode_word(i, pieces)).alias("pieces"), "docs")
     return coded.mapInArrow(_assemble, "doc_id long, n_tokens long, ids binary, decoded binary")

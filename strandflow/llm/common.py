@@ -82,3 +82,31 @@ def process_cache(owner: str) -> dict:
         cache.clear()
         cache["owner"] = owner
     return cache
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a Python worker outlives its task."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def in_parts(batch, columns: list[str], most_rows: int, most_bytes: int):
+    """Slices of a record batch with at most so many rows and, a single row apart, bytes in the columns."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    size = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+    ends = np.cumsum(size)
+    at = 0
+    while at < batch.num_rows:
+        limit = (int(ends[at - 1]) if at else 0) + most_bytes
+        end = min(at + most_rows, max(at + 1, int(np.searchsorted(ends, limit, side="right"))))
+        yield batch.slice(at, end - at)
+        at = end

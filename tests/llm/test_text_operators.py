@@ -35,6 +35,39 @@ def test_byte_bpe_equals_the_library(spark, odd):
     assert byte_bpe.encode_documents(odd.limit(0), tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN).count() == 0
 
 
+def test_long_words(spark):
+    """A word of 100,000 letters in seconds; the fold and the heap agree at their boundary."""
+    import random
+    import time
+
+    import tiktoken
+
+    draw = random.Random(0)
+    ranks = byte_bpe.read_ranks(tokenizers.path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=n)) for n in (100_000, *range(byte_bpe.LONGEST - 2, byte_bpe.LONGEST + 3))] + ["a" * 70, "é" * 33]
+    start = time.time()
+    assert byte_bpe.merge_long(texts[0].encode(), ranks) == library.encode_ordinary(texts[0]) and time.time() - start < 5
+    frame = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, words int")
+    for r in byte_bpe.encode_documents(frame, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN).collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == library.encode_ordinary(texts[r.doc_id]) and r.decoded.decode() == texts[r.doc_id]
+
+
+def test_rank_table():
+    """Every merge is found and nothing else."""
+    ranks = byte_bpe.read_ranks(tokenizers.path("byte_bpe_50k.tiktoken"))
+    moved, entries = byte_bpe.rank_table(ranks)
+    pairs = {}
+    for piece, made in ranks.items():
+        if len(piece) > 1:
+            left, right = byte_bpe.last_merge(piece, ranks)
+            pairs[ranks[left], ranks[right]] = made
+    assert len(pairs) == len(ranks) - 256
+    for left, right in [*pairs, *((int(a), int(b)) for a, b in np.random.default_rng(0).integers(0, len(ranks), (20_000, 2)))]:
+        found = entries[moved[left] + right] ^ (left << 16)
+        assert found == pairs[left, right] if (left, right) in pairs else found >= byte_bpe.IDS
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header>Site</header>
 <nav><ul><li><a href="/">Home</a></ul></nav><div class="ad">Buy</div><div id="cookie-notice">We use</div>
 <article><h1>A &amp; B</h1><p>First   line<br>goes on<p>Short.</p><aside>Side</aside><form><input>Mail</form>
