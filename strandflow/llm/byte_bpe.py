@@ -1,14 +1,17 @@
 """Byte-level BPE encoding and decoding with Spark higher-order functions.
 
 Each task cuts its documents into the pattern's matches and hands Spark one row
-per block of documents (BLOCK_BYTES of text): the block's distinct words and, per
-document, the indices of its words. Spark folds the ranked merges over each word's
+per block of documents (BLOCK_BYTES of text): the words that are new to the task
+and, per document, the indices of its words. Spark folds the ranked merges over each word's
 byte array (as the bytes' ids) beside what neighbours make, of which a merge
 changes two. The ranks are literal arrays, since a map literal would be
 searched from end to end: a left id's displacement and a right id lead to one
-entry, which holds the left id again and the id that the two make. The decoded
-bytes are the concatenated pieces of the ids. A last step puts the ids of a
-document's words in order. Blocks stand alone and there is no shuffle.
+entry, which holds the left id again and the id that the two make. A last step
+puts the ids of a document's words in order and decodes them: the concatenated
+binary pieces of the ids. There is no shuffle: distinct words over the table would
+have to go to their blocks and back, which writes more than the table's size. A
+task holds TASK_BYTES of text, so that it meets few words that others fold too, and
+at most MAX_WORDS distinct words; beyond that it starts anew.
 
 The fold's work grows with the square of a word's length, so words of over LONGEST
 bytes are merged by a heap over a linked list in the block's task instead, by the
@@ -36,10 +39,13 @@ from pyspark.sql import functions as F
 
 from strandflow.llm.common import trim
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
+#: Text of a task: a large task meets fewer new words than its parts would.
+TASK_BYTES = 96 << 20
+MAX_WORDS = 1_100_000
+MAX_CHUNKS = 150_000
 #: Bytes of a word that the fold merges; longer ones go to the heap.
 LONGEST = 64
-OUT_BYTES = 4 << 20
 #: Ids take 16 bits; a look-up that finds no merge leaves more.
 IDS = 1 << 16
 #: An entry that differs from every left id above its lowest 16 bits, and the last element's upper bits.
@@ -144,14 +150,6 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[x] for x in parts if x is not None]
 
 
-def piece_literal(ranks: dict[bytes, int]) -> Column:
-    """Each id's bytes, as Latin-1 text."""
-    pieces = [""] * (max(ranks.values()) + 1)
-    for piece, rank in ranks.items():
-        pieces[rank] = piece.decode("latin-1")
-    return F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-
-
 def _let(value: Column, body) -> Column:
     """body(value) with value computed once: lambdas are interpreted, so a repeated expression is repeated work."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -199,22 +197,44 @@ def encode_word(word: Column, moved: Column, entries: Column) -> Column:
     return F.when(F.get(word, F.lit(0)) < 0, F.transform(word, lambda x: -1 - x)).otherwise(folded)
 
 
-def decode_word(ids: Column, pieces: Column) -> Column:
-    """The bytes of an array of ids: their pieces, concatenated (as Latin-1 text)."""
-    return F.array_join(F.transform(ids, lambda i: F.get(pieces, i.cast("int"))), "")
+def _taken(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The slices of values, one after another."""
+    ends = np.cumsum(sizes)
+    return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+class Decoder:
+    """Ids to bytes: their binary pieces, concatenated."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        pieces = [b""] * (max(ranks.values()) + 1)
+        for piece, rank in ranks.items():
+            pieces[rank] = piece
+        self.sizes = np.array([len(x) for x in pieces])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.values = np.frombuffer(b"".join(pieces), np.uint8)
+
+    def __call__(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes, and how many each id gave."""
+        sizes = self.sizes[ids]
+        return _taken(self.values, self.starts[ids], sizes), sizes
 
 
 def _blocks(pattern: str, ranks: dict[bytes, int], id_column: str, text_column: str):
-    """Documents to blocks: distinct words, and per document the words' indices among them."""
+    """Documents to blocks: new distinct words, and per document the words' indices in the task's list."""
     byte_ranks = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = word_pattern(pattern).findall
         words: dict[str, int] = {}
-        ids, rows, held = [], [], 0
+        fresh, ids, rows, held, start = [], [], [], 0, 0
 
         def number(word: str) -> int:
-            return words.setdefault(word, len(words))
+            at = words.get(word)
+            if at is None:
+                at = words[word] = len(words)
+                fresh.append(word)
+            return at
 
         class Chunks(dict):
             """The indices of a chunk's words; a chunk stands for itself with the space before it."""
@@ -227,7 +247,7 @@ def _blocks(pattern: str, ranks: dict[bytes, int], id_column: str, text_column:
         plain = match(" ab") == [" ab"] and match(" \u00e9\u4e00") == [" \u00e9\u4e00"]  # the pattern takes a space and letters whole
 
         def block() -> pa.RecordBatch:
-            spelled = [w.encode() for w in words]
+            spelled = [w.encode() for w in fresh]
             if max(map(len, spelled), default=0) > LONGEST:
                 parts = [byte_ranks[np.frombuffer(w, np.uint8)] if len(w) <= LONGEST else -1 - np.array(merge_long(w, ranks)) for w in spelled]
                 ends, values = np.cumsum([0, *map(len, parts)]), np.concatenate(parts)
@@ -236,8 +256,8 @@ def _blocks(pattern: str, ranks: dict[bytes, int], id_column: str, text_column:
             listed = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
             docs = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.binary())], names=["id", "words"])
             return pa.record_batch(
-                [pa.ListArray.from_arrays(pa.array([0, len(spelled)], pa.int32()), listed), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), docs)],
-                names=["words", "docs"],
+                [pa.array([start], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(spelled)], pa.int32()), listed), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), docs)],
+                names=["start", "words", "docs"],
             )
 
         for batch in batches:
@@ -251,11 +271,15 @@ def _blocks(pattern: str, ranks: dict[bytes, int], id_column: str, text_column:
                 else:
                     rows.append(b"")
                 held += 64
+                if len(chunks) > MAX_CHUNKS:
+                    chunks.clear()
                 if held >= BLOCK_BYTES:
                     yield block()
-                    words.clear()
-                    chunks.clear()
-                    ids, rows, held = [], [], 0
+                    fresh, ids, rows, held, start = [], [], [], 0, len(words)
+                    if len(words) >= MAX_WORDS:
+                        words.clear()
+                        chunks.clear()
+                        start = 0
         if ids:
             yield block()
         trim()
@@ -263,45 +287,60 @@ def _blocks(pattern: str, ranks: dict[bytes, int], id_column: str, text_column:
     return run
 
 
-def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words' ids and pieces, put in each document's order."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            words, pieces, docs = (batch.column(n)[k].values for n in ("ids", "pieces", "docs"))
-            offsets = words.offsets.to_numpy()
-            ends = ((offsets - offsets[0]) * 4).tolist()
-            raw = words.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-            symbols = [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-            decoded = [x.encode("latin-1") for x in pieces.to_pylist()]
-            out, held = [], 0
-            for key, own in zip(docs.field("id").to_pylist(), docs.field("words"), strict=True):
-                at = array("I", own.as_py()).tolist()
-                raw = b"".join(map(symbols.__getitem__, at))
-                out.append((key, len(raw) // 4, raw, b"".join(map(decoded.__getitem__, at))))
-                held += len(raw)
-                if held > OUT_BYTES or len(out) == 256:
-                    yield _rows(out)
-                    out, held = [], 0
-            if out:
-                yield _rows(out)
-            symbols = decoded = raw = None
-    trim()
-
-
-def _rows(out: list[tuple]) -> pa.RecordBatch:
-    keys, sizes, raws, texts = zip(*out, strict=True)
-    return pa.record_batch(
-        [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(raws, pa.binary()), pa.array(texts, pa.binary())],
-        names=["doc_id", "n_tokens", "ids", "decoded"],
-    )
+def _assemble(ranks: dict[bytes, int]):
+    """Words' ids, put in each document's order, and their pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = Decoder(ranks)
+        known, sizes, used, held = np.empty(1 << 16, np.uint16), np.empty(1 << 16, np.uint32), 0, 0  # of the task's words: ids one after another, and how many
+        for batch in batches:
+            for k in range(batch.num_rows):
+                start, words, docs = batch.column("start")[k].as_py(), batch.column("ids")[k].values, batch.column("docs")[k].values
+                if start == 0:
+                    used = held = 0
+                if len(words):
+                    own, new = np.diff(words.offsets.to_numpy()), words.flatten().to_numpy(zero_copy_only=False).astype(np.uint16)
+                    known, sizes = _room(known, held + len(new)), _room(sizes, used + len(own))
+                    known[held : held + len(new)], sizes[used : used + len(own)] = new, own
+                    held, used = held + len(new), used + len(own)
+                starts = np.cumsum(sizes[:used], dtype=np.int64) - sizes[:used]
+                keys, rows = docs.field("id"), docs.field("words")
+                at = np.frombuffer(rows.buffers()[2], np.uint32) if rows.buffers()[2] else np.empty(0, np.uint32)
+                edges = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset : rows.offset + len(rows) + 1].astype(np.int64) // 4
+                most = 1 << 19  # words at once; a longer document goes alone
+                first = 0
+                while first < len(rows):
+                    last = max(first + 1, int(np.searchsorted(edges, edges[first] + most, side="right")) - 1)
+                    w = at[edges[first] : edges[last]]
+                    ids = _taken(known, starts[w], sizes[w].astype(np.int64))
+                    text, each = decode(ids)
+                    tokens = np.concatenate([[0], np.cumsum(sizes[w], dtype=np.int64)])[edges[first : last + 1] - edges[first]]
+                    bytes_to = np.concatenate([[0], np.cumsum(each)])[tokens]
+                    yield pa.record_batch(
+                        [keys[first:last], pa.array(np.diff(tokens), pa.int64()), _binary(tokens * 4, ids.astype("<u4")), _binary(bytes_to, text)],
+                        names=["doc_id", "n_tokens", "ids", "decoded"],
+                    )
+                    first = last
+        trim()
+
+    return run
+
+
+def _room(x: np.ndarray, size: int) -> np.ndarray:
+    return x if size <= len(x) else np.concatenate([x, np.empty(max(len(x) // 2, size - len(x)), x.dtype)])
+
+
+def _binary(edges: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
 def encode_documents(docs: DataFrame, rank_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and decoded bytes of each document."""
     ranks = read_ranks(rank_path)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    blocks = rows.mapInArrow(_blocks(pattern, ranks, "doc_id", "text"), "words array<array<bigint>>, docs array<struct<id:long,words:binary>>")
-    (moved, entries), pieces = rank_literals(ranks), piece_literal(ranks)
-    coded = blocks.select("docs", F.transform("words", lambda w: encode_word(w, moved, entries)).alias("ids"))
-    coded = coded.select("ids", F.transform("ids", lambda i: decode_word(i, pieces)).alias("pieces"), "docs")
-    return coded.mapInArrow(_assemble, "doc_id long, n_tokens long, ids binary, decoded binary")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = rows.coalesce(max(-(-size // TASK_BYTES), docs.sparkSession.sparkContext.defaultParallelism))
+    blocks = rows.mapInArrow(_blocks(pattern, ranks, "doc_id", "text"), "start long, words array<array<bigint>>, docs array<struct<id:long,words:binary>>")
+    moved, entries = rank_literals(ranks)
+    coded = blocks.select("start", F.transform("words", lambda w: encode_word(w, moved, entries)).alias("ids"), "docs")
+    return coded.mapInArrow(_assemble(ranks), "doc_id long, n_tokens long, ids binary, decoded binary")
