@@ -52,6 +52,9 @@ IDS = 1 << 16
 EMPTY = 1 << 33
 LAST = 1 << 60
 
+#: Letters below are letters in every version of Unicode.
+OLD_LETTERS = "\u0530"
+
 #: A space between two characters that are surely not white space always starts a match.
 _LOOSE = re.compile(r" \s|\s |^ | $")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -240,11 +243,11 @@ def _blocks(pattern: str, ranks: dict[bytes, int], id_column: str, text_column:
             """The indices of a chunk's words; a chunk stands for itself with the space before it."""
 
             def __missing__(self, chunk: str) -> bytes:
-                self[chunk] = out = array("I", [number(" " + chunk)] if plain and chunk.isalpha() else map(number, match(" " + chunk))).tobytes()
+                self[chunk] = out = array("I", [number(" " + chunk)] if plain and chunk.isalpha() and max(chunk) < OLD_LETTERS else map(number, match(" " + chunk))).tobytes()
                 return out
 
         chunks = Chunks()
-        plain = match(" ab") == [" ab"] and match(" \u00e9\u4e00") == [" \u00e9\u4e00"]  # the pattern takes a space and letters whole
+        plain = match(" aB\u00e9\u0436") == [" aB\u00e9\u0436"]  # the pattern takes a space and letters whole
 
         def block() -> pa.RecordBatch:
             spelled = [w.encode() for w in fresh]

@@ -24,15 +24,18 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import process_cache
+from strandflow.llm.common import in_parts, process_cache
 
 GROUP_DOCS = 16_384
-MAX_WORDS = 1_000_000
+MAX_WORDS = 1_500_000
+PART_BYTES = 4 << 20
+MARKS = ",.;:!?"
+#: Letters below are letters in every version of Unicode.
+OLD_LETTERS = "\u0530"
 
 #: White space other than the space and the line feed.
 _OTHER = re.compile(r"[^\S \n]")
@@ -51,8 +54,9 @@ class Encoder(dict):
 
     A space between two characters that are not white space always starts a new
     match of the tokenizer's pattern, so the ids of a text are those of its
-    words, each but the first with its space. Texts that hold an added token go
-    to the tokenizer whole. At most MAX_WORDS words are kept.
+    words, each but the first with its space; nor do letters and a mark after them
+    share a match. Texts that hold an added token go to the tokenizer whole. At
+    most MAX_WORDS words are kept.
     """
 
     def __init__(self, path: str) -> None:
@@ -63,12 +67,20 @@ class Encoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str if self.tokenizer.pre_tokenizer else lambda x: []
+        self.marks = {x: self.whole(x) for x in MARKS if [b - a for _, (a, b) in split(" a\u00e9" + x)] == [3, 1]}
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        self[word] = ids = self.whole(" " + word)
+        mark = self.marks.get(word[-1:])
+        stem = word[:-1]
+        if mark and stem.isalpha() and max(stem) < OLD_LETTERS:
+            ids = self[stem] + mark
+        else:
+            ids = self.whole(" " + word)
+        self[word] = ids
         return ids
 
     def text(self, text: str) -> bytes:
@@ -94,8 +106,7 @@ def _pieces(path: str, length: int, end: int, id_column: str, text_column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(path).text
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for part in in_parts(batch, [text_column], 256, PART_BYTES):
                 out: list[tuple] = []
                 for key, text in zip(part.column(id_column).to_pylist(), part.column(text_column).to_pylist(), strict=True):
                     ids = ids_of(text or "") + last
@@ -136,12 +147,21 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 
 
 def _pack_group(capacity: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "mark", "row", "start"], ascending=[False, True, True, True, True], kind="stable")
-        bins, offsets = first_fit_decreasing(group["length"].to_numpy(), capacity)
-        return group.assign(sequence_id=(group["group"].to_numpy() << 32) + bins, offset=offsets)[
-            ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "row"]
-        ]
+    def run(group: pa.Table) -> pa.Table:
+        key, none = group.column("doc_id").fill_null(0).to_numpy(), group.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+        mark, start, length = (group.column(n).to_numpy() for n in ("mark", "start", "length"))
+        # rows that repeat an id and a content, numbered
+        order = np.lexsort((start, mark, key, none))
+        same = np.concatenate([[False], *[np.all([np.diff(x[order]) == 0 for x in (start, mark, key, none.astype(np.int8))], axis=0)]]) if len(order) else np.empty(0, bool)
+        at = np.arange(len(order))
+        row = np.empty(len(order), np.int64)
+        row[order] = at - np.maximum.accumulate(np.where(same, 0, at)) + 1
+        order = np.lexsort((start, row, mark, key, none, -length))
+        bins, offsets = first_fit_decreasing(length[order], capacity)
+        out = group.take(pa.array(order))
+        sequence = (out.column("group").to_numpy() << 32) + bins
+        columns = [out.column(n) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
+        return pa.table([*columns, pa.array(sequence), pa.array(offsets), pa.array(row[order])], names=[x.split()[0] for x in PACKED.split(", ")])
 
     return run
 
@@ -153,12 +173,9 @@ def pack(
     docs: DataFrame, tokenizer_path: str, length: int = 2048, end: int = 1, seed: int = 7, group_docs: int = GROUP_DOCS, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """One row for each piece: where it starts in its document and where it lies in which sequence."""
-    from pyspark.sql import Window
-
     groups = max(1, -(-docs.count() // group_docs))
     pieces = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(
         _pieces(tokenizer_path, length, end, "doc_id", "text"), "doc_id long, mark long, start long, length long, ids_crc32 long, doc_tokens long"
     )
     pieces = pieces.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "mark"), F.lit(groups)))
-    same = Window.partitionBy("group", "doc_id", "mark", "start").orderBy("ids_crc32")
-    return pieces.withColumn("row", F.row_number().over(same).cast("long")).groupBy("group").applyInPandas(_pack_group(length), PACKED)
+    return pieces.groupBy("group").applyInArrow(_pack_group(length), PACKED)
