@@ -37,9 +37,9 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import trim
+from strandflow.llm.common import small_batches, trim
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 512 << 10
 #: Text of a task: a large task meets fewer new words than its parts would.
 TASK_BYTES = 96 << 20
 MAX_WORDS = 1_100_000
@@ -295,29 +295,30 @@ def _assemble(ranks: dict[bytes, int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = Decoder(ranks)
-        known, sizes, used, held = np.empty(1 << 16, np.uint16), np.empty(1 << 16, np.uint32), 0, 0  # of the task's words: ids one after another, and how many
+        # of the task's words: ids one after another, and where each starts
+        known, starts, used, held = np.empty(1 << 16, np.uint16), np.zeros(1 << 16, np.int64), 0, 0
         for batch in batches:
             for k in range(batch.num_rows):
                 start, words, docs = batch.column("start")[k].as_py(), batch.column("ids")[k].values, batch.column("docs")[k].values
                 if start == 0:
                     used = held = 0
                 if len(words):
-                    own, new = np.diff(words.offsets.to_numpy()), words.flatten().to_numpy(zero_copy_only=False).astype(np.uint16)
-                    known, sizes = _room(known, held + len(new)), _room(sizes, used + len(own))
-                    known[held : held + len(new)], sizes[used : used + len(own)] = new, own
-                    held, used = held + len(new), used + len(own)
-                starts = np.cumsum(sizes[:used], dtype=np.int64) - sizes[:used]
+                    ends, new = held + np.cumsum(np.diff(words.offsets.to_numpy()), dtype=np.int64), words.flatten().to_numpy(zero_copy_only=False).astype(np.uint16)
+                    known, starts = _room(known, held + len(new)), _room(starts, used + len(ends) + 1)
+                    known[held : held + len(new)], starts[used + 1 : used + len(ends) + 1] = new, ends
+                    held, used = held + len(new), used + len(ends)
                 keys, rows = docs.field("id"), docs.field("words")
                 at = np.frombuffer(rows.buffers()[2], np.uint32) if rows.buffers()[2] else np.empty(0, np.uint32)
                 edges = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset : rows.offset + len(rows) + 1].astype(np.int64) // 4
-                most = 1 << 19  # words at once; a longer document goes alone
+                most = 1 << 18  # words at once; a longer document goes alone
                 first = 0
                 while first < len(rows):
                     last = max(first + 1, int(np.searchsorted(edges, edges[first] + most, side="right")) - 1)
                     w = at[edges[first] : edges[last]]
-                    ids = _taken(known, starts[w], sizes[w].astype(np.int64))
+                    sizes = starts[w + 1] - starts[w]
+                    ids = _taken(known, starts[w], sizes)
                     text, each = decode(ids)
-                    tokens = np.concatenate([[0], np.cumsum(sizes[w], dtype=np.int64)])[edges[first : last + 1] - edges[first]]
+                    tokens = np.concatenate([[0], np.cumsum(sizes)])[edges[first : last + 1] - edges[first]]
                     bytes_to = np.concatenate([[0], np.cumsum(each)])[tokens]
                     yield pa.record_batch(
                         [keys[first:last], pa.array(np.diff(tokens), pa.int64()), _binary(tokens * 4, ids.astype("<u4")), _binary(bytes_to, text)],
@@ -339,6 +340,7 @@ def _binary(edges: np.ndarray, values: np.ndarray) -> pa.Array:
 
 def encode_documents(docs: DataFrame, rank_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and decoded bytes of each document."""
+    small_batches(docs.sparkSession)
     ranks = read_ranks(rank_path)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0

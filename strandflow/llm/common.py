@@ -66,6 +66,17 @@ def _drop_all() -> None:
         _delete(*_TABLES.pop())
 
 
+#: Bytes of a batch of rows between Spark and a Python worker. Spark's own bound is by far larger, and batches are held twice on either side.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches that the session sends to Python workers by BATCH_BYTES, unless its bound is lower."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name, "2g"))) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def split_of(column, modulus: int):
     """crc32 of the id as text, modulo: the split that the queries' contracts name."""
     return F.crc32(column.cast("string").cast("binary")) % F.lit(modulus)
