@@ -73,7 +73,7 @@ BATCH_BYTES = 8 << 20
 def small_batches(spark: SparkSession) -> None:
     """Bound the batches that the session sends to Python workers by BATCH_BYTES, unless its bound is lower."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name, "2g"))) > BATCH_BYTES:
+    if int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
