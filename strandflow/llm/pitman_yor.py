@@ -1,22 +1,28 @@
-"""A hierarchical Pitman-Yor language model over words, with sampled sequential seating.
-
-The restaurant of a token is the word before it. Its parent is the class of that
-word's ending, whose parent is the root; the root's base is uniform over the
-known words and one unknown. A restaurant's id has the class in its highest bits
-and 57 bits of the word's hash below.
-
-Work is dealt out by word: a shard holds all customers of its words on all three
-levels, so the seating of a word needs nothing of other shards but the totals of
-the restaurants, which are summed over the shards between sweeps: those of the words in a table dealt out by
-restaurant, from which each shard gets back its own; those of the classes and the
-root, of a fixed size, on the driver. A sweep seats each word's customers anew: customer
-i + 1 opens a table with odds (theta + d T) p_parent : (i - d t). The first
-EXACT customers are seated one by one, later ones in blocks that grow by a
-quarter, with the odds of the block's middle. Discounts come from the numbers of
-dishes with one and two customers. After BURN_IN sweeps, the predictive
+"""A hierarchical Pitman-Yor language model over words, seated by Gibbs sampling.
+
+The restaurant of a token is the word before it, whatever the vocabulary's size;
+all of them share the root (the empty context) as their parent, whose base is
+uniform over the known words and one unknown. A dish of a restaurant with c
+customers at t tables sends t customers to the root.
+
+A sweep draws the tables of each dish anew, with all its customers taken out and
+seated given everyone else: the probability of t tables is S_d(c, t) (generalised
+Stirling numbers) times that of t new tables in the restaurant and of t customers
+more in the parent. Dishes of up to EXACT customers are drawn from this law itself,
+larger ones from the normal law with its saddle point's mean and variance. Within a
+sweep, all dishes see the restaurants' totals of the sweep before. Each draw's
+random number is a hash of the context, the word and the sweep, so that neither
+the order nor the layout of rows changes a score. Discounts come from the numbers
+of dishes with one and two customers. After BURN_IN sweeps, the predictive
 probabilities of SAMPLES sweeps are averaged; a text's score is the sum of their
 logarithms.
 
+Work is dealt out by word: a shard holds all customers of its words on both
+levels, so the seating of a word needs nothing of other shards but the totals of
+the restaurants, which are summed over the shards between sweeps in a table dealt
+out by restaurant, from which each shard gets back its own; the root's totals are
+seven numbers, on the driver. A sweep's seating is written, so none is run twice.
+
 Tasks index blocks of documents and send each shard its tokens as compressed
 arrays, once. Words that hold over 1 / HOT of a block's tokens are counted in the
 block and scored there with probabilities that the shard returns, so a word with
@@ -25,7 +31,9 @@ return sums for each document, not tokens.
 
 Null texts count as empty: the end alone. Rows with a null id are training rows.
 Repeated rows are scored (and counted) each. Without training rows every word is
-unknown and scores log10 of 1. An empty table gives an empty result.
+unknown and scores log10 of 1. An empty table gives an empty result. A text of any
+length is scored whole; one that exceeds a block is a block. Other columns of the
+input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,16 +46,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import materialize, release
+from strandflow.llm.common import materialize, release, small_batches, trim
 
-#: Classes of endings, and ids of restaurants: FINE // COARSE for each class.
-COARSE, FINE = 64, 1 << 63
 THETA = 1.0
-BURN_IN, SAMPLES = 1, 2
-EXACT = 16
+BURN_IN, SAMPLES = 2, 3
+EXACT = 128
 HOT = 64
-BLOCK_BYTES = 24 << 20
-SHARD_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
+SHARD_BYTES = 8 << 20
 END = b"\n"  # no word: words have no white space
 
 INDEX = (
@@ -104,14 +110,16 @@ def _index(shards: int, held_modulus: int, held_remainder: int):
         streams.clear()
         spelled = list(local)
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, spelled), np.uint64, len(spelled))
-        endings = np.fromiter((zlib.crc32(w[-2:]) % COARSE for w in spelled), np.uint16, len(spelled))
-        restaurants = endings.astype(np.int64) << 57 | (hashes >> np.uint64(7)).astype(np.int64)
+        restaurants = (hashes >> np.uint64(1)).astype(np.int64)
+        local.clear()
+        spelled_count = len(spelled)
+        spelled.clear()
         before = np.empty(len(token), np.uint32)
         before[0] = end
         before[1:] = token[:-1]  # the end of a document is what the next one starts after
         size = np.array(lengths)
         doc = np.repeat(np.arange(len(size), dtype=np.uint32), size)
-        counts = np.bincount(token, minlength=len(spelled))
+        counts = np.bincount(token, minlength=spelled_count)
         hot = counts * HOT > len(token)
         held = np.array([0 if i is None else zlib.crc32(str(i).encode()) % held_modulus == held_remainder for i in ids], np.uint8)
         of = (hashes % np.uint64(shards)).astype(np.int64)
@@ -127,9 +135,9 @@ def _index(shards: int, held_modulus: int, held_remainder: int):
         cuts = np.searchsorted(of[ct], np.arange(shards + 1))
         # hot words: (word, context) pairs of the block with their training counts, and the documents' counts of them
         ht, hd, hc = token[~cold].astype(np.int64), doc[~cold], before[~cold].astype(np.int64)
-        pair, where = np.unique(ht * len(spelled) + hc, return_inverse=True)
+        pair, where = np.unique(ht * spelled_count + hc, return_inverse=True)
         train = np.bincount(where, held[hd] == 0, len(pair)).astype(np.uint32) if len(pair) else np.empty(0, np.uint32)
-        pair_word, pair_context = pair // len(spelled), pair % len(spelled)
+        pair_word, pair_context = pair // spelled_count, pair % spelled_count
         hot_order = np.argsort(of[pair_word], kind="stable")
         hot_first = np.searchsorted(of[pair_word][hot_order], np.arange(shards + 1))
         seen, seen_count = np.unique(hd.astype(np.int64) << np.int64(32) | where, return_counts=True)
@@ -185,12 +193,13 @@ def _index(shards: int, held_modulus: int, held_remainder: int):
                     number, ids, texts, held = number + 1, [], [], 0
         if ids:
             yield _record(names, block_rows(number, ids, texts))
+        trim()
 
     return run
 
 
 STATE = (
-    "shard int, blocks array<long>, contexts binary, types_word binary, types_context binary, types_count binary, word_count binary, cuts binary, doc binary, type binary, hot_cuts binary, hot_type binary, hot_pair binary, "
+    "shard int, blocks array<long>, words binary, contexts binary, types_word binary, types_context binary, types_count binary, cuts binary, doc binary, type binary, hot_cuts binary, hot_type binary, hot_pair binary, "
     "block long, ids array<long>, held binary, tokens binary, seen_doc binary, seen_word binary, seen_context binary, seen_count binary"
 )
 
@@ -231,6 +240,7 @@ def _build():
         row = {
             "shard": rows[0]["shard"],
             "blocks": [r["block"] for r in rows],
+            "words": _pack(words),
             "contexts": _pack(contexts),
             "types_word": _pack((types // width).astype("<u4")),
             "types_context": _pack((types % width).astype("<u4")),
@@ -247,95 +257,139 @@ def _build():
     return run
 
 
-def sample_tables(customers: np.ndarray, odds: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of dishes with so many customers each; odds: (theta + d T) p_parent of a new table."""
+def stirling(most: int, discount: float) -> np.ndarray:
+    """log S_d(c, t) for c and t up to most; -inf beyond c."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[0, 0] = 0.0
+    t = np.arange(most + 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for c in range(most):
+            stay = out[c] + np.log(np.maximum(c - t * discount, 0.0))
+            out[c + 1] = np.logaddexp(np.concatenate([[-np.inf], out[c][:-1]]), stay)
+    return out
+
+
+def hashed(x: np.ndarray, step: int) -> np.ndarray:
+    """Uniform numbers of (0, 1) from 64-bit hashes."""
+    x = x + np.uint64(step * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(12)).astype(np.float64) * 2.0**-52 + 2.0**-53
+
+
+class Odds:
+    """Odds of a dish's table j + 1: (theta + d (T + j)) of a new table in a restaurant with T others, times the parent's probability of the dish after j customers more."""
+
+    def __init__(self, discount: float, tables: np.ndarray, parent) -> None:
+        self.discount, self.tables, self.parent = discount, tables, parent
+
+    def at(self, rows, j):
+        return (THETA + self.discount * (self.tables[rows] + j)) * self.parent(rows, j)
+
+    def logs(self, rows: np.ndarray, most: int) -> np.ndarray:
+        return np.log(self.at(rows[:, None], np.arange(most)[None, :]))
+
+
+def sample_tables(customers: np.ndarray, odds: Odds, discount: float, random: np.ndarray, now: np.ndarray) -> np.ndarray:
+    """Tables of dishes with so many customers each, drawn given everyone else; one uniform number for each dish."""
     tables = (customers > 0).astype(np.float64)
-    order = np.flatnonzero(customers > 1)
-    order = order[np.argsort(-customers[order], kind="stable")]
-    c, w, t = customers[order].astype(np.float64), odds[order], np.ones(len(order))
-    i = 1.0
-    while len(c):
-        n = int(np.searchsorted(-c, -i, side="left"))  # dishes with more than i customers
-        if not n:
-            break
-        if i < EXACT:
-            t[:n] += rng.random(n) < w[:n] / (w[:n] + i - discount * t[:n])
-            i += 1
-        else:
-            step = np.minimum(np.floor(i / 4), c[:n] - i)
-            p = w[:n] / (w[:n] + i + step / 2 - discount * t[:n])
-            t[:n] += rng.binomial(step.astype(np.int64), np.clip(p, 0, 1))
-            i += np.floor(i / 4)
-    tables[order] = np.minimum(t, c)
+    few = np.flatnonzero((customers > 1) & (customers <= EXACT))
+    log_s = stirling(EXACT, discount)
+    low = 1
+    while low < EXACT:
+        high = min(EXACT, 2 * low if low > 4 else low + 1)
+        band = few[(customers[few] > low) & (customers[few] <= high)]
+        width = max(1, (1 << 18) // high)
+        for k in range(0, len(band), width):
+            rows = band[k : k + width]
+            c = customers[rows].astype(np.int64)
+            law = np.cumsum(odds.logs(rows, high), axis=1) + log_s[c, 1 : high + 1]
+            law = np.cumsum(np.exp(law - law.max(1, keepdims=True)), axis=1)
+            tables[rows] = 1 + (law < (random[rows] * law[:, -1])[:, None]).sum(1)
+        low = high
+    many = np.flatnonzero(customers > EXACT)
+    if len(many):
+        tables[many] = _many_tables(customers[many], odds, many, discount, random[many], now[many])
     return tables
 
 
+def _many_tables(c: np.ndarray, odds: Odds, rows: np.ndarray, d: float, random: np.ndarray, now: np.ndarray) -> np.ndarray:
+    """Normal draws for dishes of many customers.
+
+    Tables of n customers come as a Poisson process of rate w d (1 - d) ... (n - 1 - d) z^n / n!, conditioned on c customers at all: with
+    f = 1 - (1 - z)^d and z (1 - z)^(d - 1) = c / w, their number has mean w f / d and variance mean r, r = 1 - m1^2 / m2 of the moments of a table's size; r more for the one table that a heavy tail makes sure of.
+    """
+    from statistics import NormalDist
+
+    t = np.clip(now, 1, c)
+    for _ in range(12):
+        w = odds.at(rows, t - 1)
+        low, high = np.full(len(c), -80.0), np.zeros(len(c))
+        for _ in range(50):  # of log (1 - z)
+            y = (low + high) / 2
+            above = np.log(c / w) < np.log(-np.expm1(y)) + (d - 1) * y
+            low, high = np.where(above, y, low), np.where(above, high, y)
+        y = (low + high) / 2
+        f = -np.expm1(d * y)
+        t = np.clip((t + w * f / d) / 2, 1, c)
+    z, rest = -np.expm1(y), np.exp(y)
+    m1 = z * d * rest ** (d - 1) / f
+    m2 = m1 + z * z * d * (1 - d) * rest ** (d - 2) / f
+    share = np.clip(1 - m1 * m1 / m2, 0, 1)
+    normal = np.array([NormalDist().inv_cdf(x) for x in random.tolist()])
+    return np.clip(np.rint(t + share + np.sqrt(t * share) * normal), 1, c)
+
+
 class Shard:
-    """A shard's customers and tables on three levels, by the restaurants' ids.
+    """A shard's customers and tables on both levels, by the restaurants' ids.
 
-    Totals are (customers, tables) of the shard's own restaurants over all shards, and a vector of the classes and the root.
+    Totals are (customers, tables) of the shard's own restaurants over all shards, and a vector of the root.
     """
 
-    def __init__(self, number: int, word: np.ndarray, context: np.ndarray, count: np.ndarray) -> None:
-        self.number, self.count = number, count.astype(np.float64)
-        self.contexts, self.at = np.unique(context.astype(np.int64), return_inverse=True)
-        self.group = self.contexts // (FINE // COARSE)
-        self.words = int(word.max()) + 1 if len(word) else 0
-        pairs, self.pair = np.unique(word.astype(np.int64) * COARSE + self.group[self.at], return_inverse=True)
-        self.pair_word, self.pair_class = pairs // COARSE, pairs % COARSE
-        self.word = word.astype(np.int64)
+    def __init__(self, number: int, words: np.ndarray, word: np.ndarray, contexts: np.ndarray, at: np.ndarray, count: np.ndarray) -> None:
+        self.number, self.hashes, self.contexts, self.at = number, words.astype(np.uint64), contexts.astype(np.int64), at.astype(np.int64)
+        self.word, self.count = word.astype(np.int64), count.astype(np.float64)
         self.fine = (self.count > 0).astype(np.float64)
-        self._upward(None, None)
+        self.words = len(words)
+        self.customers = np.bincount(self.word, self.fine, self.words)
+        self.root = (self.customers > 0).astype(np.float64)
 
-    def _upward(self, coarse, root) -> None:
-        """Customers of the parents: the children's tables. Without a sampler each dish has one table."""
-        self.pair_count = np.bincount(self.pair, self.fine, len(self.pair_word))
-        self.coarse = (self.pair_count > 0).astype(np.float64) if coarse is None else coarse(self.pair_count)
-        self.word_count = np.bincount(self.pair_word, self.coarse, self.words)
-        self.root = (self.word_count > 0).astype(np.float64) if root is None else root(self.word_count)
+    def seat(self, fine: np.ndarray, root: np.ndarray) -> None:
+        self.fine, self.root = fine.astype(np.float64), root.astype(np.float64)
+        self.customers = np.bincount(self.word, self.fine, self.words)
 
     def totals(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        once = [x for c in (self.count, self.pair_count, self.word_count) for x in ((c == 1).sum(), (c == 2).sum())]
+        once = [x for c in (self.count, self.customers) for x in ((c == 1).sum(), (c == 2).sum())]
         words = np.bincount(self.word, self.count, self.words)
-        tables = np.bincount(self.at, self.fine, len(self.contexts))
-        classes = [np.bincount(self.group, tables, COARSE), np.bincount(self.pair_class, self.coarse, COARSE)]
-        return np.bincount(self.at, self.count, len(self.contexts)), tables, np.concatenate([*classes, [self.root.sum(), (words > 0).sum(), words.sum(), *once]])
-
-    def predictive(self, all_shards: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, "Totals"]:
-        """Probability of each word at the root, each pair at its class, each type at its restaurant."""
-        x = Totals(self.contexts, *all_shards)
-        p0 = (self.word_count - x.d[2] * self.root * (self.word_count > 0) + (THETA + x.d[2] * x.root_tables) / (x.known + 1)) / (THETA + x.root_customers)
-        p1 = (self.pair_count - x.d[1] * self.coarse + (THETA + x.d[1] * x.coarse_tables[self.pair_class]) * p0[self.pair_word]) / (THETA + x.coarse_customers[self.pair_class])
-        p2 = (self.count - x.d[0] * self.fine + (THETA + x.d[0] * x.fine_tables.values[self.at]) * p1[self.pair]) / (THETA + x.fine_customers.values[self.at])
-        return p0, p1, p2, x
-
-    def sweep(self, all_shards: tuple, step: int) -> None:
-        rng = np.random.default_rng([self.number, step])
-        p0, p1, _, x = self.predictive(all_shards)
-        self.fine = sample_tables(self.count, (THETA + x.d[0] * x.fine_tables.values[self.at]) * p1[self.pair], x.d[0], rng)
-        self._upward(
-            lambda c: sample_tables(c, (THETA + x.d[1] * x.coarse_tables[self.pair_class]) * p0[self.pair_word], x.d[1], rng),
-            lambda c: sample_tables(c, np.full(len(c), (THETA + x.d[2] * x.root_tables) / (x.known + 1)), x.d[2], rng),
-        )
-
-
-class ById:
-    """A number for each restaurant, by its id."""
-
-    def __init__(self, ids: np.ndarray, values: np.ndarray) -> None:
-        self.ids, self.values = ids, values
-
-    def __getitem__(self, wanted):
-        return self.values[np.searchsorted(self.ids, wanted)]
+        customers, tables = (np.bincount(self.at, x, len(self.contexts)) for x in (self.count, self.fine))
+        return customers, tables, np.array([self.root.sum(), self.customers.sum(), (words > 0).sum(), words.sum(), *once], np.float64)
+
+    def predictive(self, customers: np.ndarray, tables: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of each word at the root, and of each type at its restaurant."""
+        x = Totals(shared)
+        p0 = (self.customers - x.d[1] * self.root + x.base) / (THETA + x.customers)
+        p1 = (self.count - x.d[0] * self.fine + (THETA + x.d[0] * tables[self.at]) * p0[self.word]) / (THETA + customers[self.at])
+        return p0, p1
+
+    def sweep(self, customers: np.ndarray, tables: np.ndarray, shared: np.ndarray, step: int) -> None:
+        x = Totals(shared)
+        some = np.flatnonzero(self.count > 0)
+        fine, w = self.fine[some], self.word[some]
+        others = self.customers[w] - fine
+        above = others - x.d[1] * np.minimum(self.root[w], others) + x.base
+        odds = Odds(x.d[0], tables[self.at[some]] - fine, lambda rows, j: (above[rows] + j) / (THETA + x.customers - fine[rows] + j))
+        names = self.hashes[w] ^ (self.contexts[self.at[some]].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        self.fine[some] = sample_tables(self.count[some], odds, x.d[0], hashed(names, step), fine)
+        self.customers = np.bincount(self.word, self.fine, self.words)
+        odds = Odds(x.d[1], x.tables - self.root, lambda rows, j: 1 / (x.known + 1))
+        self.root = sample_tables(self.customers, odds, x.d[1], hashed(self.hashes, step), self.root)
 
 
 class Totals:
-    def __init__(self, contexts: np.ndarray, customers: np.ndarray, tables: np.ndarray, v: np.ndarray) -> None:
-        self.fine_customers, self.fine_tables = ById(contexts, customers), ById(contexts, tables)
-        self.coarse_customers, self.coarse_tables = v[:COARSE], v[COARSE : 2 * COARSE]
-        self.root_tables, self.known, self.tokens, *once = v[2 * COARSE :]
-        self.root_customers = self.coarse_tables.sum()
+    def __init__(self, shared: np.ndarray) -> None:
+        self.tables, self.customers, self.known, self.tokens, *once = shared.tolist()
         self.d = [min(0.95, max(0.05, one / max(1.0, one + 2 * two))) for one, two in zip(once[::2], once[1::2], strict=True)]
+        self.base = (THETA + self.d[1] * self.tables) / (self.known + 1)
 
 
 def _dealt(contexts: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -344,54 +398,50 @@ def _dealt(contexts: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(contexts[order] % buckets, np.arange(buckets + 1))
 
 
-def _meet(left: pa.Table, right: pa.Table, shared: list[np.ndarray], buckets: int) -> Iterator[tuple[dict, Shard, list[tuple]]]:
-    """Each shard with its history: the totals of its restaurants after each sweep so far."""
-    for row in left.to_pylist():
-        contexts = _unpack(row["contexts"])
-        shard = Shard(row["shard"], _unpack(row["types_word"]), contexts[_unpack(row["types_context"])], _unpack(row["types_count"]))
-        found = sorted(right.to_pylist(), key=lambda r: (r["step"], r["bucket"]))
-        order, _ = _dealt(contexts, buckets)
-        history, customers = [], np.empty(len(contexts))
-        for step, v in enumerate(shared):
-            parts, tables = [r for r in found if r["step"] == step], np.empty(len(contexts))
-            tables[order] = np.concatenate([_unpack(r["tables"]) for r in parts])
-            if not step:
-                customers[order] = np.concatenate([_unpack(r["customers"]) for r in parts])
-            history.append((customers, tables, v))
-        yield row, shard, history
-
-
-def averaged(shard: Shard, history: list[tuple]) -> np.ndarray:
-    """Predictive probabilities, averaged over the seatings after the burn-in. history[k] has the totals after k sweeps."""
-    mean = 0.0
-    for step, totals in enumerate(history):
-        if step > BURN_IN:
-            mean = mean + shard.predictive(totals)[2] / (len(history) - 1 - BURN_IN)
-        if step < len(history) - 1:
-            shard.sweep(totals, step)
-    return mean
-
-
-SENT = "bucket int, shard int, ids binary, customers binary, tables binary, shared binary"
+#: A shard's rows: its types (step null), its seating after a step, and from each bucket the totals of its restaurants after a step.
+ROWS = "shard int, step int, bucket int, words binary, contexts binary, types_word binary, types_context binary, types_count binary, fine binary, root binary, customers binary, tables binary"
+TYPES = "words contexts types_word types_context types_count".split()
+SENT = "bucket int, shard int, step int, ids binary, customers binary, tables binary, shared binary, fine binary, root binary"
 RETURNED = "shard int, step int, bucket int, customers binary, tables binary"
 
 
-def _totals(shared: list[np.ndarray], buckets: int):
-    """A shard's own sums after one more sweep: a row for each bucket of its restaurants, one (bucket -1) for the rest."""
+def _meet(rows: list[dict], buckets: int) -> tuple[dict, Shard, dict]:
+    """A shard's row of types, the shard, and for each step that has come the (customers, tables) of its restaurants and its seating."""
+    own = next(r for r in rows if r["words"] is not None)
+    words, contexts, word, at, count = (_unpack(own[n]) for n in TYPES)
+    shard = Shard(own["shard"], words, word, contexts, at, count)
+    order, _ = _dealt(shard.contexts, buckets)
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = []
-        for _, shard, history in _meet(left, right, shared, buckets):
-            for step, totals in enumerate(history):
-                shard.sweep(totals, step)
-            customers, tables, v = shard.totals()
-            order, first = _dealt(shard.contexts, buckets)
-            rows.append({"bucket": -1, "shard": shard.number, "shared": _pack(v)})
-            for b in range(buckets):
-                at = order[first[b] : first[b + 1]]
-                if len(at):
-                    row = {"bucket": b, "shard": shard.number, "ids": _pack(np.diff(shard.contexts[at], prepend=0)), "tables": _pack(_narrow(tables[at]))}
-                    rows.append(row if history else row | {"customers": _pack(_narrow(customers[at]))})
+    def joined(step: int, name: str) -> np.ndarray:
+        out = np.empty(len(contexts))
+        parts = sorted((r for r in rows if r["step"] == step and r[name] is not None), key=lambda r: r["bucket"])
+        out[order] = np.concatenate([_unpack(r[name]) for r in parts])
+        return out
+
+    steps = sorted({r["step"] for r in rows if r["tables"] is not None})
+    customers = joined(0, "customers") if steps else None
+    seats = {r["step"]: (_unpack(r["fine"]), _unpack(r["root"])) for r in rows if r["fine"] is not None}
+    return own, shard, {s: (customers, joined(s, "tables"), seats.get(s)) for s in steps}
+
+
+def _sweep(shared: np.ndarray | None, step: int, buckets: int):
+    """A shard's seating after one more sweep and its sums: a row for each bucket of its restaurants, one (bucket -1) for the rest. Step 0 has one table for each dish."""
+
+    def run(group: pa.Table) -> pa.Table:
+        _, shard, history = _meet(group.to_pylist(), buckets)
+        if step:
+            customers, tables, seats = history[step - 1]
+            if seats:
+                shard.seat(*seats)
+            shard.sweep(customers, tables, shared, step)
+        customers, tables, v = shard.totals()
+        order, first = _dealt(shard.contexts, buckets)
+        rows = [{"bucket": -1, "shard": shard.number, "step": step, "shared": _pack(v)} | ({"fine": _pack(_narrow(shard.fine)), "root": _pack(_narrow(shard.root))} if step else {})]
+        for b in range(buckets):
+            at = order[first[b] : first[b + 1]]
+            if len(at):
+                row = {"bucket": b, "shard": shard.number, "step": step, "ids": _pack(np.diff(shard.contexts[at], prepend=0)), "tables": _pack(_narrow(tables[at]))}
+                rows.append(row if step else row | {"customers": _pack(_narrow(customers[at]))})
         return pa.Table.from_pylist(rows, _arrow(SENT))
 
     return run
@@ -428,9 +478,15 @@ def _score(shared: list[np.ndarray], buckets: int):
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        for row, shard, history in _meet(left, right, shared, buckets):
-            final = Totals(shard.contexts, *history[-1])
-            score = np.log10(averaged(shard, history))
+        for row in left.to_pylist():
+            _, shard, history = _meet([row | dict.fromkeys(("step", "tables", "fine", "customers")), *right.to_pylist()], buckets)
+            final = Totals(shared[-1])
+            mean = np.zeros(len(shard.count))
+            for step in range(BURN_IN + 1, BURN_IN + SAMPLES + 1):
+                customers, tables, seats = history[step]
+                shard.seat(*seats)
+                mean += shard.predictive(customers, tables, shared[step])[1] / SAMPLES
+            score = np.log10(mean)
             counts = np.bincount(shard.word, shard.count, shard.words)
             base = np.log10((counts + 1) / (final.tokens + final.known + 1))[shard.word]
             known = (counts > 0)[shard.word]
@@ -483,24 +539,42 @@ def _sum(train_tokens: int):
 
 def score_documents(docs: DataFrame, held_modulus: int = 7, held_remainder: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Scores of all documents by a model of those whose crc32 of the id isn't the held remainder."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(4, -(-size // SHARD_BYTES))
     state = materialize(source.mapInArrow(_index(shards, held_modulus, held_remainder), INDEX).groupBy("shard").applyInArrow(_build(), STATE), "seating")
     words = state.where("types_word is not null")
     buckets = max(4, shards // 2)
-    types = words.select("shard", "contexts", "types_word", "types_context", "types_count")
-    history = docs.sparkSession.createDataFrame([], RETURNED)
+
+    def rows_of(df: DataFrame) -> DataFrame:
+        return df.select([F.col(n) if n in df.columns else F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in ROWS.split(", "))])
+
+    types = rows_of(words.select("shard", *TYPES))
+    totals, seats = {}, {}  # of each step; the steps before the samples' are dropped once used
     shared: list[np.ndarray] = []
     for step in range(1 + BURN_IN + SAMPLES):
-        sent = materialize(types.groupBy("shard").cogroup(history.groupBy("shard")).applyInArrow(_totals(list(shared), buckets), SENT), "tables")
-        # 2 * COARSE + 9 numbers of each shard
-        shared.append(sum((_unpack(r[0]) for r in sent.where("bucket < 0").select("shared").collect()), np.zeros(2 * COARSE + 9)))
-        returned = materialize(sent.where("bucket >= 0").groupBy("bucket").applyInArrow(_merge(step), RETURNED), "totals")
+        rows = types
+        for before in {0, step - 1} & totals.keys():
+            rows = rows.unionByName(rows_of(totals[before]))
+        if step - 1 in seats:
+            rows = rows.unionByName(rows_of(seats[step - 1]))
+        sent = materialize(rows.groupBy("shard").applyInArrow(_sweep(shared[-1] if shared else None, step, buckets), SENT), "seats")
+        # eight numbers of each shard
+        shared.append(sum((_unpack(r[0]) for r in sent.where("bucket < 0").select("shared").collect()), np.zeros(8)))
+        back = materialize(sent.where("bucket >= 0").select("bucket", "shard", "ids", "customers", "tables").groupBy("bucket").applyInArrow(_merge(step), RETURNED), "totals")
+        if 1 < step <= BURN_IN + 1:
+            release(totals.pop(step - 1), seats.pop(step - 1))
+        totals[step] = back
+        if step:
+            seats[step] = materialize(sent.where("bucket < 0").select("shard", "step", "fine", "root"), "seats")
         release(sent)
-        history = history.unionByName(returned) if step else returned
-    tokens = words.select("shard", "contexts", "types_word", "types_context", "types_count", "blocks", "doc", "type", "cuts", "hot_type", "hot_pair", "hot_cuts")
+        docs.sparkSession.sparkContext._jvm.System.gc()  # so that Spark's cleaner drops the shuffle files of the step
+    tokens = words.select("shard", *TYPES, "blocks", "doc", "type", "cuts", "hot_type", "hot_pair", "hot_cuts")
+    history = rows_of(totals[0])
+    for step in range(BURN_IN + 1, BURN_IN + SAMPLES + 1):
+        history = history.unionByName(rows_of(totals[step])).unionByName(rows_of(seats[step]))
     sums = tokens.groupBy("shard").cogroup(history.groupBy("shard")).applyInArrow(_score(shared, buckets), PARTS)
     own = state.where("held is not null").select([F.col(n) if n in ("block", "ids", *_SEEN) else F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in PARTS.split(", "))])
     result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return sums.unionByName(own).groupBy("block").applyInArrow(_sum(int(shared[0][2 * COARSE + 2])), result)
+    return sums.unionByName(own).groupBy("block").applyInArrow(_sum(int(shared[0][3])), result)

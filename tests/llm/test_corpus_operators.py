@@ -198,25 +198,125 @@ def test_language_model(docs):
     assert pitman_yor.score_documents(docs.limit(0)).count() == 0
 
 
+def small_shard():
+    rng = np.random.default_rng(1)
+    word, at = np.repeat(np.arange(30), 5), np.tile(np.arange(5), 30)
+    return pitman_yor.Shard(0, np.arange(1, 31) * 7919, word, np.array([3, 10, 64, 70, 4095]), at, rng.integers(0, 9, 150))
+
+
 def test_the_model_is_a_distribution():
     """Probabilities of all known words and the unknown one sum to 1 in each restaurant."""
-    rng = np.random.default_rng(1)
-    word, context = np.repeat(np.arange(30), 5), np.tile([0, 1, 64, 70, 4095], 30)
-    count = rng.integers(0, 9, 150)
-    shard = pitman_yor.Shard(0, word, context, count)
-    history = []
-    for step in range(3):
-        history.append(shard.totals())
-        shard.sweep(history[-1], step)
-    totals = shard.totals()
-    p0, p1, p2, x = shard.predictive(totals)
-    assert p0[np.bincount(word, count) > 0].sum() + (pitman_yor.THETA + x.d[2] * x.root_tables) / (x.known + 1) / (pitman_yor.THETA + x.root_customers) == pytest.approx(1)
-    unknown0 = (pitman_yor.THETA + x.d[2] * x.root_tables) / (x.known + 1) / (pitman_yor.THETA + x.root_customers)
-    for c in (0, 64, 4095):
-        g = c // (pitman_yor.FINE // pitman_yor.COARSE)
-        unknown1 = (pitman_yor.THETA + x.d[1] * x.coarse_tables[g]) * unknown0 / (pitman_yor.THETA + x.coarse_customers[g])
-        unknown2 = (pitman_yor.THETA + x.d[0] * x.fine_tables[c]) * unknown1 / (pitman_yor.THETA + x.fine_customers[c])
-        assert p2[context == c].sum() + unknown2 == pytest.approx(1)
+    shard = small_shard()
+    for step in range(1, 4):
+        shard.sweep(*shard.totals(), step)
+    customers, tables, v = shard.totals()
+    p0, p1 = shard.predictive(customers, tables, v)
+    x = pitman_yor.Totals(v)
+    unknown = x.base / (pitman_yor.THETA + x.customers)
+    assert p0[shard.customers > 0].sum() + unknown == pytest.approx(1)
+    for c in range(5):
+        rest = (pitman_yor.THETA + x.d[0] * tables[c]) * unknown / (pitman_yor.THETA + customers[c])
+        assert p1[shard.at == c].sum() + rest == pytest.approx(1)
+
+
+def gibbs_scores(train, texts, sweeps, seed):
+    """Token by token: each customer is taken out of its table and seated anew, on both levels; log10 scores averaged over the later sweeps' probabilities."""
+    import random
+
+    draw = random.Random(seed)
+    base = 1 / (len({w for t in train for w in t}) + 1)
+    pairs = [(u, w) for t in train for u, w in zip([b"\n", *t[:-1]], t, strict=True)]
+    seats, root = defaultdict(list), defaultdict(list)  # tables' sizes of each dish
+    customers, tables = Counter(), Counter()
+    place = [0] * len(pairs)
+    d = [0.5, 0.5]
+
+    def drawn(weights):
+        x = draw.random() * sum(weights)
+        for k, w in enumerate(weights):
+            x -= w
+            if x <= 0:
+                return k
+        return len(weights) - 1
+
+    def p0(w):
+        n, t = root_count[0], root_tables[0]
+        return (max(0, sum(root[w]) - d[1] * len(root[w])) + (1 + d[1] * t) * base) / (1 + n)
+
+    root_count, root_tables = [0], [0]
+
+    def root_add(w):
+        k = drawn([x - d[1] for x in root[w]] + [(1 + d[1] * root_tables[0]) * base])
+        if k == len(root[w]):
+            root[w].append(0)
+            root_tables[0] += 1
+        root[w][k] += 1
+        root_count[0] += 1
+
+    def root_drop(w):
+        k = drawn(root[w])
+        root[w][k] -= 1
+        root_count[0] -= 1
+        if not root[w][k]:
+            root[w].pop(k)
+            root_tables[0] -= 1
+
+    def add(u, w):
+        own = seats[u, w]
+        k = drawn([max(x - d[0], 0) if x else 0 for x in own] + [(1 + d[0] * tables[u]) * p0(w)])
+        if k == len(own):
+            own.append(0)
+            tables[u] += 1
+            root_add(w)
+        own[k] += 1
+        customers[u] += 1
+
+    def drop(u, w):
+        own = seats[u, w]
+        k = drawn(own)
+        own[k] -= 1
+        customers[u] -= 1
+        if not own[k]:
+            own.pop(k)
+            tables[u] -= 1
+            root_drop(w)
+
+    for u, w in pairs:
+        add(u, w)
+    means = [[0.0] * len(t) for t in texts]
+    kept = 0
+    for sweep in range(sweeps):
+        for u, w in pairs:
+            drop(u, w)
+            add(u, w)
+        for level, counts in ((0, [sum(x) for x in seats.values()]), (1, [sum(x) for x in root.values()])):
+            one, two = counts.count(1), counts.count(2)
+            d[level] = min(0.95, max(0.05, one / max(1, one + 2 * two)))
+        if sweep >= sweeps // 2:
+            kept += 1
+            for mean, t in zip(means, texts, strict=True):
+                for i, (u, w) in enumerate(zip([b"\n", *t[:-1]], t, strict=True)):
+                    own = seats.get((u, w), [])
+                    mean[i] += (sum(own) - d[0] * len(own) + (1 + d[0] * tables[u]) * p0(w)) / (1 + customers[u])
+    return [sum(math.log10(x / kept) for x in mean) for mean in means]
+
+
+def test_scores_are_those_of_a_token_by_token_sampler(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{min(int(x), 59)}" for x in np.cumsum(rng.integers(0, 4, int(rng.integers(5, 60)))) % 60 * (rng.random() < 0.9)) for _ in range(120)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in pitman_yor.score_documents(frame).collect()}
+    tokens = [[*words_of(t), b"\n"] for t in texts]
+    train = [t for i, t in enumerate(tokens) if not rows[i].held_out]
+    expected = gibbs_scores(train, tokens, 10, 0)
+    for held in (True, False):
+        ours, theirs = (sum(x[i] for i in rows if rows[i].held_out == held) for x in ({i: r.score for i, r in rows.items()}, expected))
+        assert ours == pytest.approx(theirs, rel=0.02)
+    # another layout gives the same scores
+    monkeypatch.setattr(pitman_yor, "SHARD_BYTES", 700)
+    monkeypatch.setattr(pitman_yor, "BLOCK_BYTES", 500)
+    again = {r.doc_id: r.score for r in pitman_yor.score_documents(frame.repartition(3, F.col("text"))).collect()}
+    assert all(again[i] == pytest.approx(r.score, rel=1e-9) for i, r in rows.items())
 
 
 def test_each_word_has_its_own_restaurant(spark):
@@ -227,14 +327,21 @@ def test_each_word_has_its_own_restaurant(spark):
 
 
 def test_tables_follow_their_law():
-    """Exact seating of the first customers: three customers with odds w open 1 + two Bernoulli tables."""
+    """Three customers given fixed odds, against the enumerated law; many customers, the exact law against its normal form."""
     rng = np.random.default_rng(0)
-    tables = pitman_yor.sample_tables(np.full(200_000, 3), np.full(200_000, 0.8), 0.5, rng)
-    a = 0.8 / (0.8 + 0.5)
-    expected = 1 + a + a * 0.8 / (0.8 + 1.0) + (1 - a) * 0.8 / (0.8 + 1.5)
-    assert tables.mean() == pytest.approx(expected, abs=0.01)
-    many = pitman_yor.sample_tables(np.array([0, 1, 5000]), np.full(3, 2.0), 0.3, rng)
-    assert many[0] == 0 and many[1] == 1 and 1 <= many[2] <= 5000
+    n, w, d = 200_000, 0.8, 0.5
+    odds = pitman_yor.Odds(d, np.zeros(n), lambda rows, j: w / (pitman_yor.THETA + d * j))
+    tables = pitman_yor.sample_tables(np.full(n, 3), odds, d, rng.random(n), np.ones(n))
+    law = np.array([(1 - d) * (2 - d) * w, 3 * (1 - d) * w**2, w**3])
+    assert np.bincount(tables.astype(int), minlength=4)[1:] / n == pytest.approx(law / law.sum(), abs=0.005)
+    for w, d in ((0.5, 0.3), (5.0, 0.5), (60.0, 0.8), (300.0, 0.6)):
+        odds = pitman_yor.Odds(d, np.zeros(n), lambda rows, j, w=w, d=d: w / (pitman_yor.THETA + d * j))
+        c, now = np.full(20_000, pitman_yor.EXACT), np.ones(20_000)
+        exact = pitman_yor.sample_tables(c, odds, d, rng.random(20_000), now)
+        normal = pitman_yor._many_tables(c, odds, np.arange(20_000), d, rng.random(20_000), now)
+        assert normal.mean() == pytest.approx(exact.mean(), rel=0.03, abs=0.6) and normal.std() == pytest.approx(exact.std(), rel=0.15, abs=0.3)
+    some = pitman_yor.sample_tables(np.array([0, 1, 5000]), pitman_yor.Odds(0.3, np.zeros(3), lambda rows, j: 0.5), 0.3, rng.random(3), np.ones(3))
+    assert some[0] == 0 and some[1] == 1 and 1 <= some[2] <= 5000
 
 
 def test_pipeline(spark):
