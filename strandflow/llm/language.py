@@ -14,12 +14,16 @@ Prediction reads whole texts: long texts are cut in chunks whose transfer
 matrices carry the exact messages from chunk to chunk.
 
 Null texts and texts without a letter give `und` with score 0. Without labelled
-rows every document is `und`. Repeated rows and extra columns are untouched.
+rows every document is `und`. An empty table gives an empty result. Repeated rows
+are each predicted. The columns to keep are untouched; the two new ones may be
+named otherwise where they would clash, and clashing names raise an error.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -30,17 +34,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import process_cache
+from strandflow.llm.common import in_parts, process_cache, small_batches, trim
 
 SAMPLE_DOCS = 400
 SAMPLE_ROWS, LEAST_DOCS = 64 * SAMPLE_DOCS, 8
 DIMENSIONS = 1 << 17
 CHUNK = 128
 LONGEST = 40
-MAX_WORDS = 1_000_000
+MAX_WORDS = 400_000
+PART_ROWS, PART_BYTES = 1000, 4 << 20
 UNKNOWN = "und"
 
-_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _numbers() -> str:
+    """A character class of what \\w takes besides letters, decimal digits and _ (number letters, fractions, powers)."""
+    found = [k for k in range(sys.maxunicode + 1) if unicodedata.category(chr(k)) in ("Nl", "No")]
+    ranges, last = [], None
+    for k in found:
+        if last is not None and k == last + 1:
+            ranges[-1][1] = k
+        else:
+            ranges.append([k, k])
+        last = k
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+
+
+_WORD = re.compile(f"[^\\W\\d_{_numbers()}]+")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -79,9 +99,12 @@ def emissions(words: list[str], model: Model) -> np.ndarray:
     return np.add.reduceat(model.weights[flat], starts, axis=0) if words else np.zeros((0, len(model.labels)))
 
 
-def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
+def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, chunk: int = CHUNK, messages: bool = False):
     """Each word's distribution; scores holds the sequences one after another, each of at least one word.
 
+    With messages also the forward messages (a word's own score in them) and the
+    backward ones (the words after it), each up to a factor.
+
     Chunks are sorted by length, so step t touches the first chunks only. The
     state before a sequence is uniform.
     """
@@ -126,18 +149,29 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.nd
         alphas[begin[:n] + t] = x
         state[:n] = x
     state = out
+    forward = alphas.copy() if messages else None
+    betas = np.empty_like(e) if messages else None
     for t in range(steps - 1, -1, -1):
         n = active[t]
         at = begin[:n] + t
+        if messages:
+            betas[at] = state[:n]
         x = alphas[at] * state[:n]
         alphas[at] = x / x.sum(1, keepdims=True)
         x = (e[at] * state[:n]) @ a.T
         state[:n] = x / x.sum(1, keepdims=True)
-    return alphas
+    return (alphas, forward, betas) if messages else alphas
+
+
+def pair_marginals(scores: np.ndarray, forward: np.ndarray, betas: np.ndarray, transitions: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The joint distribution of the words at and at + 1: forward message, transition, score, backward message."""
+    e = np.exp(scores[at + 1] - scores[at + 1].max(1, keepdims=True))
+    pair = forward[at][:, :, None] * np.exp(transitions - transitions.max()) * (e * betas[at + 1])[:, None, :]
+    return pair / pair.sum((1, 2), keepdims=True)
 
 
 def fit(samples: list[tuple[str, str]], sequences: int = 2400, epochs: int = 2, seed: int = 3) -> Model | None:
-    """A model from (text, language) pairs: gradient ascent on the likelihood of sequences drawn from two to four texts."""
+    """A model from (text, language) pairs: gradient ascent on the likelihood of sequences drawn from one to three texts."""
     by: dict[str, list[list[str]]] = {}
     for text, label in samples:
         if words := words_of(text):
@@ -179,20 +213,19 @@ def fit(samples: list[tuple[str, str]], sequences: int = 2400, epochs: int = 2,
             used, where = np.unique(ids, return_inverse=True)
             index = np.concatenate([flat[heads[u] : heads[u] + widths[u]] for u in used])
             scores = np.add.reduceat(model.weights[index], np.concatenate([[0], np.cumsum(widths[used])[:-1]]), axis=0)[where]
-            after = forward_backward(scores, lengths, model.transitions)
+            after, forward, betas = forward_backward(scores, lengths, model.transitions, messages=True)
             gap = np.eye(k)[marks] - after
             per_word = np.stack([np.bincount(where, gap[:, c], len(used)) for c in range(k)], 1)
             spread = np.repeat(per_word, widths[used], axis=0)
             grad = np.stack([np.bincount(index, spread[:, c], DIMENSIONS) for c in range(k)], 1)
             word_grad += grad**2
             model.weights += 0.3 * grad / np.sqrt(word_grad)
-            # transitions: observed less expected pairs within sequences, expected from neighbouring marginals and the pair potential
+            # transitions: observed less expected pairs within sequences
             ends = np.cumsum(lengths) - 1
             inner = np.ones(len(ids), bool)
             inner[ends] = False
             at = np.flatnonzero(inner)
-            pair = after[at][:, :, None] * np.exp(model.transitions) * after[at + 1][:, None, :]
-            pair /= pair.sum((1, 2), keepdims=True)
+            pair = pair_marginals(scores, forward, betas, model.transitions, at)
             seen = np.zeros((k, k))
             np.add.at(seen, (marks[at], marks[at + 1]), 1)
             step = seen - pair.sum(0)
@@ -215,7 +248,7 @@ def sample_labelled(docs: DataFrame, eligible, id_column: str = "doc_id", text_c
     return sorted((r[0], r[1]) for r in found)
 
 
-def _predict(model: Model | None, text_column: str, names: list[str]):
+def _predict(model: Model | None, text_column: str, names: list[str], new: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = process_cache("language")
         if cache.get("crf_of") != token:
@@ -231,10 +264,10 @@ def _predict(model: Model | None, text_column: str, names: list[str]):
                 if len(index) > MAX_WORDS:
                     index.clear()
                     table.clear()
-                new = list(set().union(*[texts[i] for i in rows]) - index.keys())
-                if new:
-                    index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
-                    table.append(emissions(new, model))
+                unseen = list(set().union(*[texts[i] for i in rows]) - index.keys())
+                if unseen:
+                    index.update(zip(unseen, range(len(index), len(index) + len(unseen)), strict=True))
+                    table.extend(emissions(unseen[k : k + 20_000], model) for k in range(0, len(unseen), 20_000))
                 if len(table) > 1:
                     table[:] = [np.concatenate(table)]
                 lengths = np.array([len(texts[i]) for i in rows])
@@ -244,19 +277,28 @@ def _predict(model: Model | None, text_column: str, names: list[str]):
                 best = share.argmax(1)
                 for r, b, s in zip(rows, best.tolist(), share.max(1).tolist(), strict=True):
                     labels[r], shares[r] = model.labels[b], min(1.0, s)
-            return pa.record_batch([*[part.column(n) for n in names], pa.array(labels, pa.string()), pa.array(shares, pa.float64())], names=[*names, "lang_pred", "score"])
+            return pa.record_batch([*[part.column(n) for n in names], pa.array(labels, pa.string()), pa.array(shares, pa.float64())], names=[*names, *new])
 
         for batch in batches:
-            for k in range(0, batch.num_rows, rows_at_once):
-                yield part_of(batch.slice(k, rows_at_once))
+            for part in in_parts(batch, [text_column], rows_at_once, PART_BYTES):
+                yield part_of(part)
+        trim()
 
-    rows_at_once = max(1, min(1000, 1000 * 64**2 // len(model.labels) ** 2)) if model else 1000  # chunks hold labels x labels numbers
+    rows_at_once = max(1, min(PART_ROWS, PART_ROWS * 64**2 // len(model.labels) ** 2)) if model else PART_ROWS  # chunks hold labels x labels numbers
     token = zlib.crc32(model.weights.tobytes()) if model else 0
     return run
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[str], text_column: str = "text") -> DataFrame:
-    """The columns to keep with lang_pred and score. The model is read by each task; its size is DIMENSIONS for each label."""
-    rows = docs.select(*keep, F.col(text_column).alias("_text"))
+def predict(docs: DataFrame, model: Model | None, keep: list[str], text_column: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns to keep and two new ones: language and score. The model is read by each task; its size is DIMENSIONS for each label."""
+    if len({x.lower() for x in [*keep, *names]}) < len(keep) + 2:
+        raise ValueError(f"column names clash: {[*keep, *names]}")
+    small_batches(docs.sparkSession)
+    sent = text_column  # once, even if it is kept
+    rows = docs.select(*keep)
+    if text_column not in keep:
+        while sent.lower() in {x.lower() for x in keep}:
+            sent += "_"
+        rows = docs.select(*keep, F.col(text_column).alias(sent))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return rows.mapInArrow(_predict(model, "_text", keep), f"{fields}, lang_pred string, score double")
+    return rows.mapInArrow(_predict(model, sent, keep, names), f"{fields}, `{names[0]}` string, `{names[1]}` double".lstrip(", "))

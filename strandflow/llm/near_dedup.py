@@ -32,16 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import materialize, process_cache, release
+from strandflow.llm.common import in_parts, materialize, process_cache, release, small_batches, trim
 from strandflow.llm.components import components
 
 WORDS = 5
 ROWS = 7
 SIDE = 20
-BLOCK = 2048
-BLOCK_SHINGLES = 1_000_000
+BLOCK = 1024
+BLOCK_SHINGLES = 500_000
 COLUMNS = 4096
-MAX_WORDS = 1_000_000
+MAX_WORDS = 300_000
+PART_ROWS, PART_BYTES = 512, 4 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -109,8 +110,7 @@ def _signatures(words: int, rows: int, side: int):
         pack = zstandard.ZstdCompressor(level=1).compress
         a, b = permutations(2 * rows * side)
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
+            for part in in_parts(batch, ["text"], PART_ROWS, PART_BYTES):
                 out = []
                 if len(hashes) > MAX_WORDS:
                     hashes.clear()
@@ -124,6 +124,7 @@ def _signatures(words: int, rows: int, side: int):
                         out.append((key, 0, None, None, None, None))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n", "set_a", "set_b", "half", "packed"])
+        trim()
 
     return run
 
@@ -144,8 +145,13 @@ def linked_pairs(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.n
         x = np.zeros((len(sets), min(COLUMNS, int(col[b - 1]) - start + 1 if b > a else 1)), np.float32)
         x[row[a:b], col[a:b] - start] = 1
         both += x @ x.T
-    union = sizes[:, None] + sizes[None, :] - both
-    return np.nonzero(np.triu(100 * both >= percent * union, 1))
+    rows, columns = [], []
+    for i in range(len(sets) - 1):  # counts are exact in float32, their products need more
+        own = both[i, i + 1 :].astype(np.float64)
+        found = i + 1 + np.flatnonzero((100 + percent) * own >= percent * (sizes[i] + sizes[i + 1 :]))
+        rows.append(np.full(len(found), i))
+        columns.append(found)
+    return np.concatenate([np.empty(0, np.int64), *rows]), np.concatenate([np.empty(0, np.int64), *columns])
 
 
 def forest(n: int, pairs: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int]]:
@@ -192,6 +198,7 @@ def _verify(words: int, percent: int):
                 sets.append(shingles(unpack(packed), hashes, words))
             yield record(out)
         yield record(links())
+        trim()
 
     return run
 
@@ -200,6 +207,7 @@ def near_duplicates(
     docs: DataFrame, percent: int = 85, words: int = WORDS, rows: int = ROWS, side: int = SIDE, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     signed = materialize(
         source.mapInArrow(_signatures(words, rows, side), "doc_id long, n long, set_a long, set_b long, half array<long>, packed binary"), "signatures"

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import in_parts, process_cache
+from strandflow.llm.common import in_parts, process_cache, small_batches
 
 GROUP_DOCS = 16_384
 MAX_WORDS = 1_500_000
@@ -173,6 +173,7 @@ def pack(
     docs: DataFrame, tokenizer_path: str, length: int = 2048, end: int = 1, seed: int = 7, group_docs: int = GROUP_DOCS, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """One row for each piece: where it starts in its document and where it lies in which sequence."""
+    small_batches(docs.sparkSession)
     groups = max(1, -(-docs.count() // group_docs))
     pieces = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(
         _pieces(tokenizer_path, length, end, "doc_id", "text"), "doc_id long, mark long, start long, length long, ids_crc32 long, doc_tokens long"

@@ -21,6 +21,10 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+
+from strandflow.llm.common import in_parts, small_batches, trim
+
+PART_ROWS, PART_BYTES = 1000, 4 << 20
 from pyspark.sql import functions as F
 
 ROUNDS = 8
@@ -265,24 +269,28 @@ class Pseudonymizer:
         return "".join([*out, text[at:]]), spans
 
 
-def _replace(key: str, text_column: str, names: list[str]):
+def _replace(key: str, text_column: str, names: list[str], spans_column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         change = Pseudonymizer(key)
         spans_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("length", pa.int32())]))
         for batch in batches:
-            texts, spans = [], []
-            for text in batch.column(text_column).to_pylist():
-                new, found = (None, []) if text is None else change(text)
-                texts.append(new)
-                spans.append([{"kind": k, "start": a, "length": n} for k, a, n in found])
-            columns = [pa.array(texts, pa.string()) if n == text_column else batch.column(n) for n in names]
-            yield pa.record_batch([*columns, pa.array(spans, spans_type)], names=[*names, "pii_spans"])
+            for part in in_parts(batch, [text_column], PART_ROWS, PART_BYTES):
+                texts, spans = [], []
+                for text in part.column(text_column).to_pylist():
+                    new, found = (None, []) if text is None else change(text)
+                    texts.append(new)
+                    spans.append([{"kind": k, "start": a, "length": n} for k, a, n in found])
+                columns = [pa.array(texts, pa.string()) if n == text_column else part.column(n) for n in names]
+                yield pa.record_batch([*columns, pa.array(spans, spans_type)], names=[*names, spans_column])
+        trim()
 
     return run
 
 
-def pseudonymize(docs: DataFrame, key: str, text_column: str = "text") -> DataFrame:
-    """docs with the text's values replaced, and pii_spans (kind, start, length) of the new text."""
-    docs = docs.drop("pii_spans")
+def pseudonymize(docs: DataFrame, key: str, text_column: str = "text", spans_column: str = "pii_spans") -> DataFrame:
+    """docs with the text's values replaced, and a new column of spans (kind, start, length) of the new text; a name that docs has already raises an error."""
+    if spans_column.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"{spans_column} is a column already")
+    small_batches(docs.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_replace(key, text_column, docs.columns), f"{fields}, pii_spans array<struct<kind:string,start:int,length:int>>")
+    return docs.mapInArrow(_replace(key, text_column, docs.columns, spans_column), f"{fields}, `{spans_column}` array<struct<kind:string,start:int,length:int>>")

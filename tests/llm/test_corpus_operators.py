@@ -365,3 +365,70 @@ def test_a_worker_keeps_one_operators_words():
 
     process_cache("a")["x"] = 1
     assert process_cache("a")["x"] == 1 and "x" not in process_cache("b") and "x" not in process_cache("a")
+
+
+def test_expected_transitions_are_the_gradient():
+    """Pair marginals and words' marginals against enumeration."""
+    import itertools
+
+    rng = np.random.default_rng(3)
+    lengths, scores, moves = np.array([4, 2]), rng.normal(size=(6, 3)), rng.normal(size=(3, 3))
+    _, forward, betas = language.forward_backward(scores.copy(), lengths, moves, chunk=2, messages=True)
+    at = np.array([0, 1, 2, 4])
+    found = language.pair_marginals(scores, forward, betas, moves, at)
+    for start, n, rows in ((0, 4, found[:3]), (4, 2, found[3:])):
+        expected = np.zeros((n - 1, 3, 3))
+        for y in itertools.product(range(3), repeat=n):
+            w = np.exp(sum(scores[start + i, y[i]] for i in range(n)) + sum(moves[y[i], y[i + 1]] for i in range(n - 1))) * np.exp(moves)[:, y[0]].mean()
+            for i in range(n - 1):
+                expected[i, y[i], y[i + 1]] += w
+        assert np.allclose(expected / expected.sum((1, 2), keepdims=True), rows)
+
+
+def test_letters_only(spark):
+    model = language.fit([("the house and the river", "en"), ("das haus und der fluss", "de")] * 20)
+    assert language.words_of("½ ² Ⅻ 7 _ ab½cd é") == ["ab", "cd", "é"]
+    frame = spark.createDataFrame([(1, "½ ²", 2.0, "x"), (2, "the river", 3.0, "y")], "doc_id long, text string, score double, lang_pred string")
+    rows = {r.doc_id: r for r in language.predict(frame, model, ["doc_id", "score", "text"], names=("found", "share")).collect()}
+    assert (rows[1].found, rows[1].share, rows[1].score) == ("und", 0.0, 2.0) and (rows[2].found, rows[2].text) == ("en", "the river")
+    with pytest.raises(ValueError):
+        language.predict(frame, model, ["doc_id", "score"])
+    assert language.predict(frame.limit(0), model, ["doc_id"]).count() == 0
+    assert language.predict(frame, model, []).count() == 2
+
+
+def test_pipeline_against_brute_force(spark):
+    """Each stage on its own input: what the language stage rejects, one document of each group, identifiers gone, every id in one piece."""
+    import corpus_pipeline
+    from strandflow.llm.pseudonyms import Pseudonymizer
+
+    base = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").withColumn("score", F.lit(1.5)).withColumn("pii_spans", F.lit("clash"))
+    extra = [(90_001, None, "en", "s", 0, 0.0, ""), (90_002, "½ 12 34", "en", "s", 7, 0.0, ""), (90_003, "the same words are here for all of us to see", "en", "s", 1, 0.0, ""), (90_003, "the same words are here for all of us to see", "en", "s", 1, 0.0, "")]
+    docs = base.unionByName(spark.createDataFrame(extra, base.schema))
+    kept = corpus_pipeline.language(spark, docs, SF)
+    assert kept.columns == docs.columns
+    ids = [r.doc_id for r in kept.select("doc_id").collect()]
+    assert not {90_001, 90_002} & set(ids)
+    single = corpus_pipeline.near_dedup(spark, kept, SF).collect()
+    sets = {}
+    for r in kept.collect():
+        w = words_of(r.text)
+        sets[r.doc_id] = frozenset(zip(*[w[k:] for k in range(5)], strict=False)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    least = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and (both := len(sets[a] & sets[b])) and 100 * both >= 80 * len(sets[a] | sets[b])]
+    for _ in sets:
+        before = dict(least)
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+        if before == least:
+            break
+    expected = {i for i in sets if least[i] == i}
+    found = [r.doc_id for r in single]
+    assert len(found) == len(set(found))  # one row of a group, even if it repeats an id
+    assert expected <= set(found) and len(found) <= 1.005 * len(expected)  # no document too few; recall of links at 80 percent
+    frame = spark.createDataFrame(single, kept.schema)
+    change = Pseudonymizer(corpus_pipeline.KEY)
+    safe = {r.doc_id: r for r in corpus_pipeline.personal_data(spark, frame, SF).collect()}
+    assert all(safe[r.doc_id].text == change(r.text)[0] and safe[r.doc_id].n_chars == len(safe[r.doc_id].text) and safe[r.doc_id].pii_spans == r.pii_spans for r in single)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
