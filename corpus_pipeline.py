@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the driver writes
 it as Parquet and reads it again as the next stage's docs. All but the last
-return the columns of documents. run() does the same by itself, with the
-stages' results in the shared folder.
+return the columns of documents, whatever extra ones there are. run() does the
+same by itself, with the stages' results in the shared folder. Texts are read
+whole, however long; an empty table passes every stage as an empty result.
 """
 
 from __future__ import annotations
@@ -25,25 +26,40 @@ PERCENT, ROWS, SIDE = 80, 6, 24
 KEY = "example key"
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, longer by as many underscores as keep it apart from the columns."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with words, of which one language holds a fair share."""
+    """Documents with words, of which one language holds a fair share. Null, empty and letterless texts go."""
     columns = docs.columns
     model = fit(sample_labelled(docs, F.lit(True)))
-    out = predict(docs, model, columns)
-    sure = F.col("score") >= LEAST_SHARE if model else F.lit(True)
-    known = F.col("lang_pred") != UNKNOWN if model else F.regexp_like("text", F.lit(r"\p{L}"))
+    label, share = unused("lang_pred", columns), unused("score", columns)
+    out = predict(docs, model, columns, names=(label, share))
+    sure = F.col(share) >= LEAST_SHARE if model else F.lit(True)
+    known = F.col(label) != UNKNOWN if model else F.regexp_like("text", F.lit(r"\p{L}"))
     return out.where(sure & known).select(*columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the smallest id. Rows without an id stay."""
-    kept = near_duplicates(docs, percent=PERCENT, rows=ROWS, side=SIDE).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One document of each group of near-duplicates: the smallest id. Rows without an id stay; of rows that repeat a kept id, the least by text stays."""
+    kept = near_duplicates(docs, percent=PERCENT, rows=ROWS, side=SIDE).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    kept = materialize(kept, "kept")
+    out = docs.join(kept.where("rows = 1"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    again = kept.where("rows > 1")
+    if again.isEmpty():
+        return out
+    repeated = docs.join(again, "doc_id", "left_semi").select("doc_id", F.struct(*docs.columns).alias("row"), F.struct(F.col("text"), F.xxhash64(*docs.columns)).alias("by"))
+    return out.unionByName(repeated.groupBy("doc_id").agg(F.min_by("row", "by").alias("row")).select("row.*").select(*docs.columns))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with valid identifiers replaced by pseudonyms and n_chars counted again."""
-    return pseudonymize(docs, KEY).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Every document, with valid identifiers replaced by pseudonyms and n_chars counted again; null texts stay null."""
+    out = pseudonymize(docs, KEY, spans_column=unused("pii_spans", docs.columns))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
