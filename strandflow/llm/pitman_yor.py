@@ -81,6 +81,15 @@ def _narrow(x: np.ndarray) -> np.ndarray:
     return x.astype("<u2" if most < 1 << 16 else "<u4")
 
 
+def _differences(x: np.ndarray) -> np.ndarray:
+    """Rising 63-bit ids as the planes of their differences' bytes, the high ones of which compress."""
+    return np.ascontiguousarray(np.diff(x, prepend=0).astype("<u8").view(np.uint8).reshape(-1, 8).T)
+
+
+def _summed(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel().astype(np.int64))
+
+
 def _record(names: list[str], rows: list[dict]) -> pa.RecordBatch:
     kinds = {"shard": pa.int32(), "block": pa.int64(), "ids": pa.list_(pa.int64())}
     return pa.record_batch([pa.array([r.get(n) for r in rows], kinds.get(n, pa.binary())) for n in names], names=names)
@@ -147,7 +156,7 @@ def _index(shards: int, held_modulus: int, held_remainder: int):
             mine = hot_order[hot_first[s] : hot_first[s + 1]]
             if a == b and not len(mine):
                 continue
-            here, at = np.unique(np.concatenate([cc[a:b], pair_context[mine]]), return_inverse=True)
+            here, at = np.unique(restaurants[np.concatenate([cc[a:b], pair_context[mine]])], return_inverse=True)
             d = 2 * cd[a:b].astype(np.int64) + held[cd[a:b]]  # the held flag goes in the lowest bit
             rows.append(
                 {"shard": s, "block": number}
@@ -160,7 +169,7 @@ def _index(shards: int, held_modulus: int, held_remainder: int):
                                 hashes[order[first[s] : first[s + 1]]],
                                 _narrow(np.diff(d, prepend=0)),
                                 _narrow(rank[ct[a:b]] - first[s]),
-                                restaurants[here],
+                                _differences(here),
                                 _narrow(at[: b - a]),
                                 hashes[pair_word[mine]],
                                 mine.astype("<u4"),
@@ -217,6 +226,8 @@ def _build():
         if rows[0]["words"] is None:
             return pa.concat_tables([record({k: r[k] for k in ("shard", "block", "ids", *_SEEN)}) for r in rows])
         parts = [{k: _unpack(r[k]) for k in _ARRAYS} for r in rows]
+        for p in parts:
+            p["contexts"] = _summed(p["contexts"])
         words = np.unique(np.concatenate([np.concatenate([p["words"], p["hot_words"]]) for p in parts]))
         contexts = np.unique(np.concatenate([p["contexts"] for p in parts]))
         width = len(contexts)
@@ -241,7 +252,7 @@ def _build():
             "shard": rows[0]["shard"],
             "blocks": [r["block"] for r in rows],
             "words": _pack(words),
-            "contexts": _pack(contexts),
+            "contexts": _pack(_differences(contexts)),
             "types_word": _pack((types // width).astype("<u4")),
             "types_context": _pack((types % width).astype("<u4")),
             "types_count": _pack(count.astype("<u4")),
@@ -409,6 +420,7 @@ def _meet(rows: list[dict], buckets: int) -> tuple[dict, Shard, dict]:
     """A shard's row of types, the shard, and for each step that has come the (customers, tables) of its restaurants and its seating."""
     own = next(r for r in rows if r["words"] is not None)
     words, contexts, word, at, count = (_unpack(own[n]) for n in TYPES)
+    contexts = _summed(contexts)
     shard = Shard(own["shard"], words, word, contexts, at, count)
     order, _ = _dealt(shard.contexts, buckets)
 
@@ -537,6 +549,14 @@ def _sum(train_tokens: int):
     return run
 
 
+def _clean(docs: DataFrame) -> None:
+    """Let Spark's cleaner drop the shuffle files of steps whose tables are written."""
+    import gc
+
+    gc.collect()
+    docs.sparkSession.sparkContext._jvm.System.gc()
+
+
 def score_documents(docs: DataFrame, held_modulus: int = 7, held_remainder: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Scores of all documents by a model of those whose crc32 of the id isn't the held remainder."""
     small_batches(docs.sparkSession)
@@ -544,6 +564,7 @@ def score_documents(docs: DataFrame, held_modulus: int = 7, held_remainder: int
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(4, -(-size // SHARD_BYTES))
     state = materialize(source.mapInArrow(_index(shards, held_modulus, held_remainder), INDEX).groupBy("shard").applyInArrow(_build(), STATE), "seating")
+    _clean(docs)
     words = state.where("types_word is not null")
     buckets = max(4, shards // 2)
 
@@ -569,7 +590,7 @@ def score_documents(docs: DataFrame, held_modulus: int = 7, held_remainder: int
         if step:
             seats[step] = materialize(sent.where("bucket < 0").select("shard", "step", "fine", "root"), "seats")
         release(sent)
-        docs.sparkSession.sparkContext._jvm.System.gc()  # so that Spark's cleaner drops the shuffle files of the step
+        _clean(docs)
     tokens = words.select("shard", *TYPES, "blocks", "doc", "type", "cuts", "hot_type", "hot_pair", "hot_cuts")
     history = rows_of(totals[0])
     for step in range(BURN_IN + 1, BURN_IN + SAMPLES + 1):
