@@ -95,10 +95,77 @@ def test_skipped_elements_end_where_html_ends_them():
     assert extraction.main_text('<aside><article>Teaser</article></aside><article>A<div class="comments"><article>Reader</article></div></article>') == "A"
 
 
+def test_formulas_and_drawings_stay():
+    assert extraction.main_text("<article><p>Let <math><mi>x</mi></math> be <svg><title>t</title><text>y</text></svg> or <object>z</object></article>") == "Let x be y or z"
+    assert extraction.main_text("<article><p>One long paragraph.<p class='share'>Share this<p>Two paragraph.<p>Three</article>") == "One long paragraph.\n\nTwo paragraph.\n\nThree"
+    assert extraction.main_text("<article><ul><li>A<li class='related'>R<li>B</ul><p>C</article>") == "A\n\nB\n\nC"
+
+
+def test_surge_and_dive():
+    """Against sums formed anew for each window."""
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        weights = (rng.integers(0, 3, int(rng.integers(0, 30))) * rng.integers(0, 2)).tolist()
+        kept = set()
+        sums = [sum(weights[i : i + extraction.WINDOW]) for i in range(len(weights))]
+        kept = {i for i, x in enumerate(sums) if x > 0}
+        found = extraction.regions(weights)
+        assert {i for a, b in found for i in range(a, b)} == kept and all(b < c for (_, b), (c, _) in zip(found, found[1:], strict=False))
+
+
+class Blocks(__import__("html.parser").parser.HTMLParser):
+    """A plain second reader: a stack of elements, p and li closed by the next block; text of articles outside boilerplate."""
+
+    BLOCK = set("html body nav ul li div article h1 h2 p footer header aside section".split())
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.blocks, self.text = [], [], []
+        self.feed(page)
+        self.close()
+        self.end()
+
+    def end(self):
+        text = " ".join("".join(self.text).split())
+        if text:
+            self.blocks.append(text)
+        self.text = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BLOCK:
+            self.end()
+            while self.stack and self.stack[-1][0] not in self.BLOCK - {"p"} and any(t == "p" for t, _ in self.stack):
+                self.stack.pop()
+        if tag == "br":
+            self.text.append(" ")
+        elif tag not in ("meta", "br", "img", "link", "hr", "input"):
+            skipped = tag in ("nav", "footer", "script", "style", "title", "head", "form", "aside") or dict(attrs).get("class") in ("ad", "sidebar", "notice", "comments")
+            self.stack.append((tag, skipped))
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCK:
+            self.end()
+        if any(t == tag for t, _ in self.stack):
+            while self.stack.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if any(t == "article" for t, _ in self.stack) and not any(s for _, s in self.stack):
+            self.text.append(data)
+
+
+def test_extraction_of_all_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    found = {r.page_id: r.text for r in extraction.extract_pages(pages).collect()}
+    rows = pages.collect()
+    assert len(found) == len(rows)
+    assert [r.page_id for r in rows if found[r.page_id] != "\n\n".join(Blocks(r.html).blocks)] == []
+
+
 def test_extraction_frame(spark):
     frame = spark.createDataFrame([(1, "u", PAGE, 7), (1, "u", PAGE, 7), (2, None, None, 8)], "page_id long, url string, html string, n_chars int")
     rows = extraction.extract_pages(frame).collect()
-    assert sorted((r.page_id, r.n_chars) for r in rows) == [(1, len(extraction.main_text(PAGE)))] * 2 + [(2, 0)][:0] or sorted((r.page_id, r.n_chars) for r in rows)[-1] == (2, 0)
+    assert sorted((r.page_id, r.n_chars, r.text) for r in rows) == [(1, len(extraction.main_text(PAGE)), extraction.main_text(PAGE))] * 2 + [(2, 0, "")]
     assert extraction.extract_pages(frame.limit(0)).count() == 0
 
 
@@ -169,3 +236,47 @@ def test_fingerprints(spark, odd):
     assert fingerprint.likeness(by[9].fingerprint, by[9].fingerprint) == 1 and fingerprint.fingerprint_pairs(frame.limit(0)).count() == 0
     one = fingerprint.fingerprint_pairs(frame.limit(1)).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
+
+
+def test_fingerprints_against_plain_counts():
+    """Counts, quartile codes, differences and likeness by loops, from the definitions."""
+    import random
+
+    draw = random.Random(2)
+    texts = [bytes(draw.choices(b"abcde fghij\xc3\xa9", k=n)) for n in (0, 1, 3, 4, 5, 50, 400, 3000)]
+
+    def codes(data):
+        counts = [0] * 256
+        for at in range(len(data) - 3):
+            w = data[at : at + 4]
+            for salt, (i, j, k) in enumerate(((0, 1, 2), (0, 1, 3), (0, 2, 3)), 1):
+                h = (w[i] * 0x9E3779B1 + w[j]) % 2**32
+                h = (h * 0x85EBCA77 + w[k] * 0x01000193 + salt) % 2**32
+                counts[(h * 0xC2B2AE3D) % 2**32 >> 24] += 1
+        q = sorted(counts)
+        return [sum(c > q[at] for at in (63, 127, 191)) for c in counts], (q[63], q[127], q[191])
+
+    made = [fingerprint.digest(t) for t in texts]
+    for text, mark in zip(texts, made, strict=True):
+        own, (a, b, top) = codes(text)
+        body = bytes.fromhex(mark[4:])
+        assert [body[k // 4] >> (6 - 2 * (k % 4)) & 3 for k in range(256)] == own
+        assert int(mark[2], 16) == min(15, a * 15 // max(1, top)) and int(mark[3], 16) == min(15, b * 15 // max(1, top))
+    for x, m in zip(texts, made, strict=True):
+        for y, n in zip(texts, made, strict=True):
+            gaps = [abs(a - b) for a, b in zip(codes(x)[0], codes(y)[0], strict=True)]
+            least = sum(6 if g == 3 else g for g in gaps) + 12 * min(16, abs(int(m[:2], 16) - int(n[:2], 16))) + abs(int(m[2], 16) - int(n[2], 16)) + abs(int(m[3], 16) - int(n[3], 16))
+            assert fingerprint.difference(m, n) == least and 0 <= fingerprint.likeness(m, n) <= 1
+
+
+def test_near_columns(spark):
+    """Every column of every row of documents by the contract, in plain loops."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = {r.doc_id: r for r in fingerprint.fingerprint_pairs(docs).collect()}
+    order = sorted(((r.doc_id, r.text or "") for r in docs.collect()), reverse=True)
+    for (key, text), (_, after) in zip(order, [*order[1:], order[0]], strict=True):
+        half = len(text) // 2
+        other = (text[: len(text) - half] + after[:half]).encode()
+        own, r = fingerprint.digest(text.encode()), rows[key]
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(text), hashlib.sha256(other).hexdigest(), own, fingerprint.digest(other))
+        assert r.near_edited == fingerprint.likeness(own, fingerprint.digest(other)) and r.near_next == fingerprint.likeness(own, fingerprint.digest(after.encode()))
