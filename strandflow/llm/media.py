@@ -1,16 +1,21 @@
 """Interleaved document sequences with media payloads resolved by digest.
 
 parse_sequences() turns html into ordered items: text items, and media items
-that hold a reference (a digest), an alternative text and a caption. store_png()
-and read_png() keep any bytes losslessly as 8-bit gray samples. resolve() joins
-media rows to the items by digest and gives each document its items in order
-again, so positions and captions stay aligned whatever the join does with rows.
+that hold a reference, its digest if it names one, and a caption (of the figure,
+else the alternative text). store_png() and read_png() keep any bytes losslessly as
+8-bit gray samples. resolve() joins media rows to the items by digest and gives each
+document its items in order again, so positions and captions stay aligned whatever
+the join does with rows; resolve_references() does so for the media items alone,
+without moving texts.
 
 The join is keyed by digest; the media side has one row for each digest, found
 by a partial aggregate and written first, so that both sides of the join are
 plain exchanges that Spark can split where one digest holds a third of all
-references. Null html or text counts as empty; a reference that no media row
-has stays in its place, unresolved; repeated rows keep apart by a row number.
+references. Null html or text counts as empty; a reference that no media row has
+(or that names no digest) stays in its place, unresolved; a figure's caption without
+media is a text; repeated rows keep apart by a row number; an empty table gives an
+empty result. Texts of any length are stored and read whole. Other columns of the
+input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import materialize
+from strandflow.llm.common import in_parts, materialize, small_batches, trim
 
 ROW = 576
-ITEMS = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
+ITEMS = "array<struct<position:int,kind:string,text:string,reference:string,digest:string,caption:string>>"
 
-_TAG = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][\w-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][\w-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([\w-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _BLOCK = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "article", "section", "figure", "blockquote", "br", "tr", "td"}
 _MEDIA = {"img", "video", "audio", "source", "embed"}
@@ -50,9 +55,22 @@ def parse_sequence(page: str | None) -> list[dict]:
     def flush() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            items.append({"position": len(items), "kind": "text", "text": text, "digest": None, "caption": None})
+            items.append({"position": len(items), "kind": "text", "text": text, "reference": None, "digest": None, "caption": None})
         parts.clear()
 
+    def end_caption() -> None:
+        nonlocal caption
+        if caption is None:
+            return
+        if figure:
+            text = " ".join(html.unescape("".join(caption)).split())
+            for item in figure:
+                item["caption"] = text
+        else:
+            parts.extend(caption)
+            flush()
+        caption = None
+
     page = page or ""
     for m in [*_TAG.finditer(page), None]:
         piece = page[at : m.start() if m else len(page)]
@@ -69,41 +87,48 @@ def parse_sequence(page: str | None) -> list[dict]:
         elif name in ("script", "style") and not close:
             skip = name
         elif name == "figcaption":
-            if close and caption is not None:
-                text = " ".join(html.unescape("".join(caption)).split())
-                for item in figure or []:
-                    item["caption"] = text
-                caption = None
-            elif not close:
+            end_caption()
+            if not close:
                 flush()
                 caption = []
         elif name == "figure":
+            end_caption()
             flush()
-            figure, caption = (None, None) if close else ([], None)
+            figure = None if close else []
         elif name in _MEDIA and not close:
             values = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(m[3])}
             reference = values.get("src", "")
-            if reference.startswith(SCHEME):
+            if reference:
                 flush()
-                items.append({"position": len(items), "kind": "media", "text": None, "digest": reference[len(SCHEME) :], "caption": values.get("alt")})
+                digest = reference[len(SCHEME) :] if reference.startswith(SCHEME) else None
+                items.append({"position": len(items), "kind": "media", "text": None, "reference": reference, "digest": digest, "caption": values.get("alt")})
                 if figure is not None:
                     figure.append(items[-1])
-        elif name in _BLOCK:
+        elif name in _BLOCK and caption is None:
             flush()
+    end_caption()
     flush()
     return items
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("position", pa.int32()), *[(n, pa.string()) for n in ("kind", "text", "digest", "caption")]]))
-    for batch in batches:
-        items = pa.array([parse_sequence(x) for x in batch.column("html").to_pylist()], kind)
-        yield pa.record_batch([batch.column("row"), items], names=["row", "items"])
+def _parse(keep: list[str]):
+    kind = pa.list_(pa.struct([("position", pa.int32()), *[(n, pa.string()) for n in ("kind", "text", "reference", "digest", "caption")]]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in in_parts(batch, ["html"], 512, 4 << 20):
+                items = pa.array([parse_sequence(x) for x in part.column("html").to_pylist()], kind)
+                yield pa.record_batch([*[part.column(n) for n in keep], items], names=[*keep, "items"])
+        trim()
+
+    return run
 
 
-def parse_sequences(pages: DataFrame) -> DataFrame:
-    """pages(row, html) to (row, items)."""
-    return pages.select("row", "html").mapInArrow(_parse, f"row long, items {ITEMS}")
+def parse_sequences(pages: DataFrame, keep: tuple[str, ...] = ("row",)) -> DataFrame:
+    """pages(html, ...) to the columns to keep and items."""
+    small_batches(pages.sparkSession)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep).schema.fields)
+    return pages.select(*keep, "html").mapInArrow(_parse(list(keep)), f"{fields}, items {ITEMS}")
 
 
 def padded(data: bytes) -> bytes:
@@ -152,10 +177,17 @@ def feature_of(samples: np.ndarray) -> str:
     return f"{samples.mean():.4f}:{samples.std():.4f}:{int(''.join('01'[b] for b in bits.tolist()), 2):016x}"
 
 
+def page_of(text: str, mark: str, caption: str, again: str) -> str:
+    """An article of the text's lines as paragraphs, the payload as a figure in their middle and as an image after them."""
+    lines = [f"<p>{html.escape(x, quote=False)}</p>" for x in text.split("\n")]
+    figure = f'<figure><img src="{SCHEME}{mark}" alt=""><figcaption>{html.escape(caption)}</figcaption></figure>'
+    middle = len(lines) // 2
+    return "".join(["<article>", *lines[:middle], figure, *lines[middle:], f'<img src="{SCHEME}{mark}" alt="{html.escape(again)}"></article>'])
+
+
 def _attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for k in range(0, batch.num_rows, 512):
-            part = batch.slice(k, 512)
+        for part in in_parts(batch, ["text"], 512, 4 << 20):
             out, made = [], {}
             for key, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                 data = (text or "").encode()
@@ -163,17 +195,18 @@ def _attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     payload = padded(data)
                     made[data] = hashlib.sha256(payload).hexdigest(), store_png(payload)
                 mark, stored = made[data]
-                page = f'<article><p>document {key}</p><figure><img src="{SCHEME}{mark}" alt=""><figcaption>{len(data)} bytes of document {key}</figcaption></figure></article>'
+                page = page_of(text or "", mark, f"{len(data)} bytes of document {key}", f"document {key} again")
                 out.append((key, len(data), page, mark, stored))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "html", "digest", "stored"])
 
 
 def attach_payloads(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Each document's text as a stored payload, and a page that refers to it by digest. Written once, with row numbers."""
+    """Each document's text as a stored payload, and a page of it that refers to the payload by digest; row numbers tell repeated rows apart once it is written."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     stored = rows.mapInArrow(_attach, "doc_id long, n_bytes long, html string, digest string, stored binary")
-    return materialize(stored.withColumn("row", F.monotonically_increasing_id()), "media")
+    return stored.withColumn("row", F.monotonically_increasing_id())
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,6 +232,14 @@ def media_features(media: DataFrame) -> DataFrame:
     return materialize(first, "features")
 
 
+def resolve_references(references: DataFrame, media: DataFrame) -> DataFrame:
+    """(row, references of position and digest) with the media items' rows of media(digest, ...) in order: (row, resolved of position and media)."""
+    columns = [c for c in media.columns if c != "digest"]
+    one = references.select("row", F.explode("references").alias("x")).select("row", "x.position", "x.digest")
+    joined = one.join(media.select("digest", F.struct(*columns).alias("media")), "digest", "left")
+    return joined.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("position", "media"))).alias("resolved"))
+
+
 def resolve(sequences: DataFrame, media: DataFrame) -> DataFrame:
     """(row, items) with each media item's row of media(digest, ...) beside it: items become (item, media) in order."""
     columns = [c for c in media.columns if c != "digest"]

@@ -38,15 +38,24 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strandflow.llm.media import attach_payloads, media_features, parse_sequences, resolve
-
-    stored = attach_payloads(read_table(spark, sf_dir, "documents"))
-    sequences = resolve(parse_sequences(stored), media_features(stored))
-    media = F.filter("sequence", lambda x: x["item"]["kind"] == "media")[0]
-    resolved = sequences.select("row", media.alias("m"), F.size("sequence").alias("n_items")).select("row", "m.media.*", F.col("m.item.caption").alias("caption"), "n_items")
-    return stored.select("row", "doc_id", "n_bytes").join(resolved, "row").select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "caption", "n_items"
+    from strandflow.llm.common import materialize
+    from strandflow.llm.media import attach_payloads, media_features, parse_sequences, resolve_references
+
+    pages = attach_payloads(read_table(spark, sf_dir, "documents"))
+    parsed = parse_sequences(pages, keep=("row", "doc_id", "n_bytes", "digest", "stored"))
+    media = F.filter("items", lambda x: x["kind"] == "media")
+    # one pass: the items' texts go into a digest, and only references move on
+    whole = parsed.select(
+        "row", "doc_id", "n_bytes", "digest", "stored", F.size("items").alias("n_items"), F.sha2(F.to_json("items"), 256).alias("sequence_sha256"),
+        F.transform(media, lambda x: F.struct(x["position"].alias("position"), x["digest"].alias("digest"))).alias("references"), F.transform(media, lambda x: x["caption"]).alias("captions"),
     )
+    whole = materialize(whole, "media")
+    resolved = resolve_references(whole.select("row", "references"), media_features(whole.select("digest", "stored")))
+    first = F.col("resolved")[0]["media"]
+    out = whole.select("row", "doc_id", "n_bytes", "n_items", "sequence_sha256", "captions").join(resolved, "row")
+    names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    positions = F.transform("resolved", lambda x: x["position"]).alias("positions")
+    return out.select("doc_id", "n_bytes", *[first[n].alias(n) for n in names], "n_items", "sequence_sha256", positions, "captions")
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

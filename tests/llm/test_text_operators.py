@@ -170,18 +170,25 @@ def test_extraction_frame(spark):
 
 
 def test_media_round_trip(odd):
-    stored = media.attach_payloads(odd)
+    from strandflow.llm.common import materialize
+
+    stored = materialize(media.attach_payloads(odd), "media")
     found = media.resolve(media.parse_sequences(stored), media.media_features(stored)).join(stored.select("row", "doc_id", "n_bytes"), "row").collect()
     assert len(found) == len(ODD) + 1
     for r in found:
-        data = ("no id" if r.doc_id is None else ODD[r.doc_id] or "").encode()
+        own = "no id" if r.doc_id is None else ODD[r.doc_id] or ""
+        data = own.encode()
         payload = data + b"\xff" * (-len(data) % 576 if data else 576)
-        text, item = r.sequence
-        assert (text.item.kind, item.item.kind, item.item.caption) == ("text", "media", f"{len(data)} bytes of document {r.doc_id}")
+        lines = own.split("\n")
+        before, after = ([t for x in part if (t := " ".join(x.split()))] for part in (lines[: len(lines) // 2], lines[len(lines) // 2 :]))
+        assert [x.item.text for x in r.sequence] == [*before, None, *after, None] and [x.item.position for x in r.sequence] == list(range(len(r.sequence)))
+        item, again = (x for x in r.sequence if x.item.kind == "media")
+        assert (item.item.caption, again.item.caption) == (f"{len(data)} bytes of document {r.doc_id}", f"document {r.doc_id} again") and item.media == again.media
         assert (item.media.payload_bytes, item.media.payload_sha256, item.media.tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
         png = media.store_png(payload)
         assert (item.media.media_bytes, item.media.media_sha256) == (len(png), hashlib.sha256(png).hexdigest())
         assert media.read_png(png).tobytes() == payload
+    assert media.attach_payloads(odd.limit(0)).count() == 0
 
 
 def test_sequences_stay_aligned(spark):
@@ -192,10 +199,34 @@ def test_sequences_stay_aligned(spark):
     payloads = spark.createDataFrame([("aa", 1), ("bb", 2)], "digest string, size int")
     found = {r.row: r.sequence for r in media.resolve(media.parse_sequences(pages), payloads).collect()}
     assert [x.media and x.media.size for x in found[1]] == [None, 1, None, 2, None] and found[2] is None and found[3] is None
+    references = spark.createDataFrame([(1, [(1, "aa"), (3, "bb"), (4, "none")])], "row long, references array<struct<position:int,digest:string>>")
+    assert [(x.position, x.media and x.media.size) for x in media.resolve_references(references, payloads).first().resolved] == [(1, 1), (3, 2), (4, None)]
     with pytest.raises(ValueError):
         media.read_png(media.store_png(b"\0" * 576)[:-20] + b"\0" * 20)
 
 
+def test_no_reference_or_caption_is_lost():
+    def plain(page):
+        return [(i["kind"], i["text"] or i["reference"], i["digest"], i["caption"]) for i in media.parse_sequence(page)]
+
+    assert plain("<figure><img src='http://x/y.png'><figcaption>cap</figcaption></figure><p>t</p>") == [("media", "http://x/y.png", None, "cap"), ("text", "t", None, None)]
+    assert plain("<figure><figcaption>alone</figcaption></figure>t") == [("text", "alone", None, None), ("text", "t", None, None)]
+    assert plain("<figure><img src=media:a><figcaption>never <p>closed") == [("media", "media:a", "a", "never closed")]
+
+
+def test_sequences_of_real_pages(spark):
+    """Each page's items hold all of its text outside scripts and styles, in order."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").withColumn("row", F.col("page_id"))
+    found = {r.row: r["items"] for r in media.parse_sequences(rows).collect()}
+    for r in rows.collect():
+        import html
+        import re
+
+        whole = re.sub(r"<(script|style)\b.*?</\1>|<!--.*?-->", "", r.html, flags=re.S)
+        whole = html.unescape(re.sub(r"<[^>]*>", "", whole))
+        assert "".join("".join(i.text for i in found[r.page_id]).split()) == "".join(whole.split()) and [i.position for i in found[r.page_id]] == list(range(len(found[r.page_id])))
+
+
 VALUES = 'und.34@mail7.example.com 4785380592391139 152.143.123.131 +1 (743) 555-3824 token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" 2021-03-04 123-45-6789'
 
 
