@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from strandflow.llm.common import in_parts, process_cache, small_batches
 
 GROUP_DOCS = 16_384
-MAX_WORDS = 1_500_000
+MAX_WORDS = 900_000
 PART_BYTES = 4 << 20
 MARKS = ",.;:!?"
 #: Letters below are letters in every version of Unicode.
