@@ -550,11 +550,14 @@ def _sum(train_tokens: int):
 
 
 def _clean(docs: DataFrame) -> None:
-    """Let Spark's cleaner drop the shuffle files of steps whose tables are written."""
+    """Let Spark's cleaner drop the shuffle files of steps whose tables are written; the first round frees what still refers to them."""
     import gc
+    import time
 
     gc.collect()
-    docs.sparkSession.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        docs.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def score_documents(docs: DataFrame, held_modulus: int = 7, held_remainder: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
