@@ -51,7 +51,7 @@ from strandflow.llm.common import materialize, release, small_batches, trim
 THETA = 1.0
 BURN_IN, SAMPLES = 2, 3
 EXACT = 128
-HOT = 64
+HOT = 512
 BLOCK_BYTES = 12 << 20
 SHARD_BYTES = 8 << 20
 END = b"\n"  # no word: words have no white space
@@ -263,6 +263,8 @@ def _build():
             "hot_type": _pack(at[n:].astype("<u4")),
             "hot_pair": _pack(np.concatenate(hot_pairs)),
         }
+        del parts, keys, docs, types, at, doc
+        trim()
         return record(row)
 
     return run
@@ -454,6 +456,8 @@ def _sweep(shared: np.ndarray | None, step: int, buckets: int):
             if len(at):
                 row = {"bucket": b, "shard": shard.number, "step": step, "ids": _pack(np.diff(shard.contexts[at], prepend=0)), "tables": _pack(_narrow(tables[at]))}
                 rows.append(row if step else row | {"customers": _pack(_narrow(customers[at]))})
+        del shard, customers, tables, order
+        trim()
         return pa.Table.from_pylist(rows, _arrow(SENT))
 
     return run
@@ -513,6 +517,8 @@ def _score(shared: list[np.ndarray], buckets: int):
                     part["pair_" + name] = value[hot_type[c:d]].astype(dtype)
                 part["pair"] = hot_pair[c:d]
                 out.append({"block": block} | {k: _pack(v) for k, v in part.items()})
+            del shard, history, mean, score, base, known, doc, kind
+            trim()
         return pa.Table.from_batches([_record(names, out)])
 
     return run
