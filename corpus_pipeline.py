@@ -48,7 +48,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the smallest id. Rows without an id stay; of rows that repeat a kept id, the least by text stays."""
     kept = near_duplicates(docs, percent=PERCENT, rows=ROWS, side=SIDE).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
     kept = materialize(kept, "kept")
-    out = docs.join(kept.where("rows = 1"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    # the ids grow with the documents, so they are never broadcast
+    out = docs.join(kept.where("rows = 1").hint("merge"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
     again = kept.where("rows > 1")
     if again.isEmpty():
         return out
