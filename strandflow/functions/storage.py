@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def kept(rows: DataFrame) -> DataFrame:
-    """rows, written to spark.checkpoint.dir (a temporary folder only where none is set) and read from there."""
+    """rows, written to spark.checkpoint.dir (a temporary folder only in local runs without one) and read from there."""
     context = rows.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strandflow-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandflow-"))
     return rows.checkpoint()

@@ -50,67 +50,123 @@ def gap_penalties(profile: np.ndarray, scoring: Scoring) -> tuple[np.ndarray, np
     return op, ex
 
 
-def align_columns(sim: np.ndarray, op_r: np.ndarray, ex_r: np.ndarray, op_q: np.ndarray, ex_q: np.ndarray, scoring: Scoring) -> tuple[np.ndarray, float]:
-    """Path and score of the best global alignment; sim is query x reference.
+class Similarity:
+    """similarity() a cell at a time, so that no matrix of it is held."""
+
+    def __init__(self, ref: np.ndarray, qry: np.ndarray, scoring: Scoring, gap_letter: float) -> None:
+        k = scoring.matrix.shape[0]
+        rows_r, rows_q = max(1e-9, ref.sum(1).max(initial=0)), max(1e-9, qry.sum(1).max(initial=0))
+        self.shape = len(qry), len(ref)
+        self.query = np.hstack([qry[:, :k] @ scoring.matrix.T, gap_letter * qry[:, k : k + 1], gap_letter * qry[:, :k].sum(1, keepdims=True)]) / rows_q
+        self.ref = np.hstack([ref[:, :k], ref[:, :k].sum(1, keepdims=True), ref[:, k : k + 1]]) / rows_r
+
+    def at(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.einsum("ab,ab->a", self.query[i], self.ref[j])
+
+
+class BandDied(ValueError):
+    """No cell of a diagonal is within xdrop of the best score so far, or the last cell is outside the band."""
+
+
+#: Bytes of pointers that are held at once; larger problems keep each BLOCK-th diagonal and compute pointers anew, block by block.
+POINTERS = 64 << 20
+
+
+def align_columns(sim, op_r: np.ndarray, ex_r: np.ndarray, op_q: np.ndarray, ex_q: np.ndarray, scoring: Scoring, pointers: int = POINTERS, xdrop: float | None = None) -> tuple[np.ndarray, float]:
+    """Path and score of the best global alignment; sim is a query x reference matrix, or a Similarity.
 
     A match wins ties, then a gap in the query over one in the reference; an
-    extension wins over an opening.
+    extension wins over an opening. Cells whose score is more than xdrop below the
+    best so far end the band of the diagonals that follow; a band that dies is
+    tried again at twice the drop. Memory: the pointers of one block of diagonals
+    and the scores of each block's first.
     """
-    n, m = sim.shape  # query, reference
+    n, m = sim.shape
     if not n or not m:
         return np.array([2] * m + [1] * n, np.int8), 0.0
+    drop = xdrop if xdrop is not None else scoring.xdrop * max(1.0, abs(scoring.gap_extend))
+    most = (n + m) * (18.0 + abs(scoring.gap_open) + float(np.abs(scoring.matrix).max()))
+    while True:
+        try:
+            return _aligned(sim, op_r, ex_r, op_q, ex_q, scoring, pointers, drop)
+        except BandDied:
+            if drop > most:
+                raise
+            drop *= 2
+
+
+def _aligned(sim, op_r, ex_r, op_q, ex_q, scoring: Scoring, pointers: int, drop: float) -> tuple[np.ndarray, float]:
+    n, m = sim.shape  # query, reference
+    cells = sim.at if isinstance(sim, Similarity) else lambda i, j: sim[i, j]
     lead = scoring.gap_open + scoring.gap_extend * np.maximum(0, np.arange(max(n, m) + 1) - 1)
-    # states by query index i on diagonal k: match, insertion (query runs on), deletion (reference runs on)
-    pointer = np.zeros((n + m - 1, n), np.uint8)
-    s1 = np.full(n, FAR)
-    s2 = np.full(n, FAR)
-    ins, dele = np.full(n, FAR), np.full(n, FAR)
-    for k in range(n + m - 1):
-        low, high = max(0, k - m + 1), min(n, k + 1)
+    last = n + m - 1
+    block = min(last, max(1, pointers // n))
+
+    def diagonal(k: int, state: tuple) -> tuple[tuple, int, np.ndarray]:
+        """State after diagonal k (scores of the two last diagonals, of insertions and deletions, best score, band), where its band starts, its pointers."""
+        s1, s2, ins, dele, top, first, end = state
+        low, high = max(0, k - m + 1, first), min(n, k + 1, end)
+        if low >= high:
+            raise BandDied
         i = np.arange(low, high)
         j = k - i
-        cell = sim[i, j]
-        diagonal = np.full(len(i), FAR)
         inner = (i > 0) & (j > 0)
-        diagonal[inner] = s2[i[inner] - 1]
-        edge = ~inner
-        diagonal[edge] = np.where((i[edge] == 0) & (j[edge] == 0), 0.0, lead[np.maximum(i[edge], j[edge])])
-        match = diagonal + cell
-        up_open, up_ext = np.full(len(i), FAR), np.full(len(i), FAR)
-        from_up = i > 0
-        up_open[from_up] = s1[i[from_up] - 1] + op_q[i[from_up]]
-        up_ext[from_up] = ins[i[from_up] - 1] + ex_q[i[from_up]]
-        left_open, left_ext = np.full(len(i), FAR), np.full(len(i), FAR)
-        from_left = j > 0
-        left_open[from_left] = s1[i[from_left]] + op_r[j[from_left]]
-        left_ext[from_left] = dele[i[from_left]] + ex_r[j[from_left]]
+        edge = np.where((i == 0) & (j == 0), 0.0, lead[np.maximum(i, j)])
+        match = np.where(inner, s2[i - 1], edge) + cells(i, j)
+        up_open = np.where(i > 0, s1[i - 1] + op_q[i], FAR)
+        up_ext = np.where(i > 0, ins[i - 1] + ex_q[i], FAR)
+        left_open = np.where(j > 0, s1[i] + op_r[j], FAR)
+        left_ext = np.where(j > 0, dele[i] + ex_r[j], FAR)
         up, left = np.maximum(up_open, up_ext), np.maximum(left_open, left_ext)
-        state = np.where((match >= up) & (match >= left), 0, np.where(up > left, 1, 2))
-        best = np.where(state == 0, match, np.where(state == 1, up, left))
-        pointer[k, low:high] = state | (4 * (up_ext >= up_open)) | (8 * (left_ext >= left_open))
+        state_ = np.where((match >= up) & (match >= left), 0, np.where(up > left, 1, 2))
+        best = np.where(state_ == 0, match, np.where(state_ == 1, up, left))
         new_ins, new_del, new_s = np.full(n, FAR), np.full(n, FAR), np.full(n, FAR)
         new_ins[low:high], new_del[low:high], new_s[low:high] = up, left, best
-        ins, dele, s2, s1 = new_ins, new_del, s1, new_s
+        top = max(top, float(best.max()))
+        alive = np.flatnonzero(best >= top - drop)
+        if not len(alive):
+            raise BandDied
+        return (new_s, s1, new_ins, new_del, top, low + int(alive[0]), low + int(alive[-1]) + 2), low, (state_ | (4 * (up_ext >= up_open)) | (8 * (left_ext >= left_open))).astype(np.uint8)
+
+    far = np.full(n, FAR)
+    state = (far, far, far, far, FAR, 0, n)
+    starts, held = [], []
+    for k in range(last):
+        if k % block == 0:
+            starts.append(state)
+            held = []
+        state, low, codes = diagonal(k, state)
+        held.append((low, codes))
+    score = float(state[0][n - 1])
+    if score <= FAR / 2:
+        raise BandDied
     path: list[int] = []
-    i, j, state = n - 1, m - 1, 0
-    while i >= 0 and j >= 0:
-        p = int(pointer[i + j, i])
-        if state == 0:
-            state = p & 3
-            if state == 0:
-                path.append(0)
-                i, j = i - 1, j - 1
-                continue
-        if state == 1:
-            path.append(1)
-            state = 1 if p & 4 else 0
-            i -= 1
-        else:
-            path.append(2)
-            state = 2 if p & 8 else 0
-            j -= 1
+    i, j, now = n - 1, m - 1, 0
+    for number in range(len(starts) - 1, -1, -1):
+        if number < len(starts) - 1:
+            state, held = starts[number], []
+            for k in range(number * block, (number + 1) * block):
+                state, low, codes = diagonal(k, state)
+                held.append((low, codes))
+        while i >= 0 and j >= 0 and i + j >= number * block:
+            low, codes = held[i + j - number * block]
+            p = int(codes[i - low])
+            if now == 0:
+                now = p & 3
+                if now == 0:
+                    path.append(0)
+                    i, j = i - 1, j - 1
+                    continue
+            if now == 1:
+                path.append(1)
+                now = 1 if p & 4 else 0
+                i -= 1
+            else:
+                path.append(2)
+                now = 2 if p & 8 else 0
+                j -= 1
     path += [2] * (j + 1) + [1] * (i + 1)
-    return np.array(path[::-1], np.int8), float(s1[n - 1])
+    return np.array(path[::-1], np.int8), score
 
 
 def runs_of(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -186,7 +242,7 @@ def align_profiles(ref: np.ndarray, qry: np.ndarray, scoring: Scoring, gappy: fl
     flags = [p[:, -1] / np.maximum(1e-9, p.sum(1)) > gappy if gappy < 1 else np.zeros(len(p), bool) for p in (ref, qry)]
     kept = [p[~f] for p, f in zip((ref, qry), flags, strict=True)]
     large = max(ref.sum(1).max(initial=0), qry.sum(1).max(initial=0)) > 10_000
-    sim = similarity(*kept, scoring, 0.0 if merging or large else scoring.gap_extend)
+    sim = Similarity(*kept, scoring, 0.0 if merging or large else scoring.gap_extend)
     (op_r, ex_r), (op_q, ex_q) = (gap_penalties(p, scoring) for p in kept)
     path, _ = align_columns(sim, op_r, ex_r, op_q, ex_q, scoring)
     if flags[0].any() or flags[1].any():

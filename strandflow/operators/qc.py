@@ -85,7 +85,9 @@ def kept_columns(msa: DataFrame, keep: Column) -> DataFrame:
 def masked(msa: DataFrame, columns: DataFrame) -> DataFrame:
     """Rows with only the kept columns; the list has one number for each column of a node."""
     rows = msa.join(columns, "node", "left")
-    text = F.array_join(F.transform("keep", lambda p: F.substring(F.col("aligned"), p + 1, F.lit(1))), "")
+    # the letters are split once, not at each position
+    letters = F.array(F.filter(F.split("aligned", ""), lambda c: c != ""))
+    text = F.array_join(F.element_at(F.transform(letters, lambda row: F.transform("keep", lambda p: F.get(row, p))), 1), "")
     return rows.select("node", "row_id", F.coalesce(text, F.lit("")).alias("aligned"))
 
 

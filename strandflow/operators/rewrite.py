@@ -7,16 +7,13 @@ from pyspark.sql import functions as F
 
 
 def replayed(row: Column, path: Column, side: int, gap: str = "-") -> Column:
-    """The row's letters at the steps that it takes part in, else the gap; no Python: one pass over the path."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(s: Column, p: Column) -> Column:
-        takes = p != side
-        return F.struct(
-            (s["at"] + takes.cast("int")).alias("at"), F.concat(s["out"], F.array(F.when(takes, F.substring(row, s["at"] + 1, F.lit(1))).otherwise(gap))).alias("out")
-        )
-
-    return F.aggregate(path, start, step, lambda s: F.array_join(s["out"], ""))
+    """The row's letters at the steps that it takes part in, else the gap; no Python: letters and gaps with their places, in order."""
+    steps = F.transform(path, lambda p, k: F.struct(k.alias("k"), (p != side).alias("takes")))
+    places = F.transform(F.filter(steps, lambda s: s["takes"]), lambda s: s["k"])
+    letters = F.filter(F.split(row, ""), lambda c: c != "")
+    taken = F.filter(F.zip_with(places, letters, lambda k, c: F.struct(k.alias("k"), F.coalesce(c, F.lit("")).alias("c"))), lambda x: x["k"].isNotNull())
+    gaps = F.transform(F.filter(steps, lambda s: ~s["takes"]), lambda s: F.struct(s["k"].alias("k"), F.lit(gap).alias("c")))
+    return F.array_join(F.transform(F.array_sort(F.concat(taken, gaps)), lambda x: x["c"]), "")
 
 
 def insertion_runs(steps: DataFrame) -> DataFrame:

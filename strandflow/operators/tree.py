@@ -9,17 +9,20 @@ from strandflow.functions.storage import kept
 
 
 def closure(spark: SparkSession, nodes: DataFrame) -> DataFrame:
-    """(node_id, anc_id, dist) of each node and each of its ancestors, itself included, by a recursive query; kept, as operators use it often."""
-    nodes.createOrReplaceTempView("strandflow_nodes")
-    return kept(spark.sql(
-        """
-        WITH RECURSIVE up(node_id, anc_id, dist) AS (
-          SELECT node_id, node_id, 0 FROM strandflow_nodes
-          UNION ALL
-          SELECT u.node_id, n.parent_id, u.dist + 1 FROM up u JOIN strandflow_nodes n ON n.node_id = u.anc_id WHERE n.parent_id IS NOT NULL
-        ) SELECT * FROM up
-        """
-    ))
+    """(node_id, anc_id, dist) of each node and each of its ancestors, itself included; kept, as operators use it often.
+
+    Pointer doubling: who knows its ancestors up to 2^k learns those of the one at
+    2^k, so a tree of any depth takes as many joins as its depth has bits.
+    """
+    itself = nodes.select("node_id", F.col("node_id").alias("anc_id"), F.lit(0).alias("dist"))
+    parents = nodes.where("parent_id is not null").select("node_id", F.col("parent_id").alias("anc_id"), F.lit(1).alias("dist"))
+    up, reach = kept(itself.unionByName(parents)), 1
+    while True:
+        far = up.where(F.col("dist") == reach).select("node_id", F.col("anc_id").alias("at"))
+        if far.isEmpty():
+            return up
+        more = up.where("dist > 0").select(F.col("node_id").alias("at"), "anc_id", (F.col("dist") + reach).alias("dist"))
+        up, reach = kept(up.unionByName(far.join(more, "at").select("node_id", "anc_id", "dist"))), 2 * reach
 
 
 def leaf_counts(nodes: DataFrame, up: DataFrame) -> DataFrame:

@@ -1,23 +1,25 @@
 """Whole alignments: build from sequences, merge alignments, place sequences on a backbone.
 
 A part of the guide tree (at most `most` leaves) is aligned within one task, and
-all parts at once; their profiles meet in one task, whose input is one profile
-for each part; rows are then rewritten along their part's path, everywhere.
+all parts at once. Their profiles are joined level by level along the tree of
+parts, the pairs of a level at once, each in its own task; rows are rewritten once,
+along their part's path. Deferred sequences come last, one after another.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandflow.functions.alphabet import Scoring
 from strandflow.functions.storage import kept
-from strandflow.operators import kernel
+from strandflow.operators import kernel, rewrite
 from strandflow.sources import newick
 
 
@@ -87,25 +89,92 @@ ROWS = "group_id int, name string, weight double, aligned string"
 
 
 def build(spark: SparkSession, sequences: DataFrame, tree: newick.Node, options: Options | None = None) -> DataFrame:
-    """(group_id, name, weight, aligned) of sequences(name, seq) whose names are leaves of the tree; the first of repeated names counts."""
+    """(group_id, name, weight, aligned) of sequences(name, seq) whose names are leaves of the tree; the first of repeated names counts.
+
+    With a column status, excluded sequences are left out and deferred ones set
+    aside: the others are aligned along the tree without them, then each takes its
+    place in turn, the longest first.
+    """
     options = options or Options()
+    later = None
+    if "status" in sequences.columns:
+        later = sequences.where("status = 'deferred'")
+        sequences = sequences.where("status = 'ok'")
+        # names of the guide tree, which the driver holds anyway
+        now = {r.name for r in sequences.select("name").distinct().collect()}
+        names = {n.name for n in tree.walk() if n.is_leaf}
+        later = later.join(spark.createDataFrame([(n,) for n in sorted(names - now)], "name string"), "name", "left_semi") if names - now else later.limit(0)
+        if not names & now:  # none is left to start with
+            later, sequences = None, later.select(*sequences.columns)
+            now = names
+        tree = newick.prune(tree, now)
     tree = newick.binarize(tree) if options.rooted else newick.reroot(tree)
     roots = newick.partition(tree, options.most)
     weights = {r[0]: r[7] for r in newick.to_rows(tree) if r[8]}
-    parts = {g: _text(newick.copy(n, lambda x, g=g: x.group == g)) for g, n in roots.items()}
+    # each part's tree goes to its own task
+    parts = spark.createDataFrame([(g, json.dumps(_text(newick.copy(n, lambda x, g=g: x.group == g)))) for g, n in roots.items()], "group_id int, tree string")
     leaves = spark.createDataFrame([(n.name, n.group, float(weights[n.name])) for n in tree.walk() if n.is_leaf], "name string, group_id int, weight double")
     rows = sequences.groupBy("name").agg(F.min_by("seq", "seq_id").alias("seq")).join(leaves, "name")
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, group: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        if group.empty:
+            return pd.DataFrame({"group_id": [], "name": [], "weight": [], "aligned": []}).astype({"group_id": "int32"})
         group = group.sort_values("name")
         blocks = {n: block_of([n], [s or ""], [w], options.scoring.kind) for n, s, w in zip(group["name"], group["seq"], group["weight"], strict=True)}
-        made = align_tree(_tree(parts[int(key[0])]), blocks, options)
+        made = align_tree(_tree([tuple(r) for r in json.loads(part["tree"].iloc[0])]), blocks, options)
         return pd.DataFrame({"group_id": int(key[0]), "name": made.names, "weight": made.weights, "aligned": made.rows}).astype({"group_id": "int32"})
 
-    inner = rows.groupBy("group_id").applyInPandas(run, ROWS)
-    if len(roots) == 1:
-        return inner
-    return merge(kept(inner), options)
+    made = rows.groupBy("group_id").cogroup(parts.groupBy("group_id")).applyInPandas(run, ROWS)
+    if len(roots) > 1:
+        made = merge_parts(spark, kept(made), newick.part_schedule(newick.contract(tree, roots)), options)
+    return made if later is None else add_deferred(kept(made), later, options)
+
+
+def add_deferred(rows: DataFrame, sequences: DataFrame, options: Options | None = None) -> DataFrame:
+    """An alignment with sequences(name, seq) taken in one after another, the longest first (then by name); they are few beside the rows."""
+    rank = Window.orderBy(F.length("seq").desc(), "name")  # low-quality sequences only
+    one = sequences.groupBy("name").agg(F.min_by(F.coalesce("seq", F.lit("")), "seq_id").alias("seq"))
+    own = one.select(F.row_number().over(rank).alias("group_id"), "name", F.lit(1.0).alias("weight"), F.col("seq").alias("aligned"))
+    return merge(rows.withColumn("group_id", F.lit(0)).unionByName(own), options, first=0)
+
+
+BLOCKS = "block int, profile binary, members array<struct<group_id:int,path:binary>>"
+
+
+def merge_parts(spark: SparkSession, rows: DataFrame, levels: list[list[tuple[int, int]]], options: Options) -> DataFrame:
+    """Parts joined level by level: (block, block it takes in) of a level are pairs of their own, each aligned in its own task.
+
+    Only profiles and the parts' paths move between levels; rows are rewritten once.
+    """
+    size = len(kernel.letters_of(options.scoring.kind)) + 2
+
+    def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            members = [[{"group_id": int(g), "path": bytes(int(c))}] for g, c in zip(batch["group_id"], batch["columns"], strict=True)]
+            yield pd.DataFrame({"block": batch["group_id"], "profile": batch["profile"], "members": members})
+
+    def run(pair: pd.DataFrame) -> pd.DataFrame:
+        pair = pair.sort_values("side")
+        if len(pair) == 1:  # the other one has no rows
+            return pd.DataFrame({"block": pair["key"], "profile": pair["profile"], "members": pair["members"]}).astype({"block": "int32"})
+        left, right = (np.frombuffer(x).reshape(-1, size) for x in pair["profile"])
+        path = kernel.align_profiles(left, right, options.scoring, options.gappy, merging=True)
+        members = []
+        for own, side in zip(pair["members"], (1, 2), strict=True):
+            for member in own:  # columns that the side lacks are gaps in all its members
+                new = np.ones(len(path), np.int8)
+                new[path != side] = np.frombuffer(member["path"], np.int8)
+                members.append({"group_id": int(member["group_id"]), "path": new.tobytes()})
+        return pd.DataFrame({"block": [int(pair["key"].iloc[0])], "profile": [kernel.merge_profiles(left, right, path).tobytes()], "members": [members]}).astype({"block": "int32"})
+
+    blocks = kept(profiles(rows, options.scoring.kind).mapInPandas(start, BLOCKS))
+    for pairs in levels:
+        sides = [(a, a, 0) for a, _ in pairs] + [(b, a, 1) for a, b in pairs]
+        named = blocks.join(F.broadcast(spark.createDataFrame(sides, "block int, key int, side int")), "block", "left")  # two numbers for each part
+        joined = named.where("key is not null").groupBy("key").applyInPandas(run, BLOCKS)
+        blocks = kept(named.where("key is null").select("block", "profile", "members").unionByName(joined))
+    found = blocks.select(F.explode("members").alias("x")).select("x.group_id", "x.path")
+    return replayed(rows, found)
 
 
 def profiles(rows: DataFrame, kind: str = "n") -> DataFrame:
@@ -130,13 +199,13 @@ def profiles(rows: DataFrame, kind: str = "n") -> DataFrame:
     return raw.groupBy("group_id").applyInPandas(total, "group_id int, n long, columns long, profile binary")
 
 
-def merge(rows: DataFrame, options: Options | None = None) -> DataFrame:
-    """Alignments (group_id, name, weight, aligned) joined into one: the one with the most rows takes the others in turn."""
+def merge(rows: DataFrame, options: Options | None = None, first: int | None = None) -> DataFrame:
+    """Alignments (group_id, name, weight, aligned) joined into one: the first, else the one with the most rows, takes the others in turn."""
     options = options or Options()
     size = len(kernel.letters_of(options.scoring.kind)) + 2
 
     def paths(parts: pd.DataFrame) -> pd.DataFrame:
-        parts = parts.sort_values(["n", "group_id"], ascending=[False, True])
+        parts = parts.assign(starts=parts["group_id"] == first).sort_values(["starts", "n", "group_id"], ascending=[False, False, True])
         whole, held = None, {}
         for g, raw in zip(parts["group_id"], parts["profile"], strict=True):
             profile = np.frombuffer(raw).reshape(-1, size)
@@ -285,4 +354,47 @@ def place_on_tree(spark: SparkSession, sequences: DataFrame, backbone: DataFrame
         return pd.DataFrame({"group_id": int(key[0]), "name": made.names, "weight": made.weights, "aligned": made.rows}).astype({"group_id": "int32"})
 
     inner = both.join(leaves, "name").groupBy("group_id").applyInPandas(run, ROWS)
-    return inner if len(roots) == 1 else merge(kept(inner), options)
+    return inner if len(roots) == 1 else merge_parts(spark, kept(inner), newick.part_schedule(newick.contract(tree, roots)), options)
+
+
+#: Leaves of a guide tree that the driver can join by average linkage.
+GUIDE_MOST = 4000
+
+
+def guide_tree(sequences: DataFrame, k: int = 6) -> newick.Node:
+    """Average linkage of the k-mer distances of sequences(seq_id, name, seq), on the driver, for at most GUIDE_MOST of them."""
+    names = [(r.seq_id, r.name) for r in sequences.groupBy("name").agg(F.min("seq_id").alias("seq_id")).orderBy("name").limit(GUIDE_MOST + 1).collect()]
+    if len(names) > GUIDE_MOST:
+        raise ValueError(f"over {GUIDE_MOST} sequences: give a tree")
+    place = {key: i for i, (key, _) in enumerate(names)}
+    distance = np.ones((len(names), len(names)))
+    for a, b, d in rewrite.kmer_distance(sequences, k).collect():
+        if a in place and b in place:
+            distance[place[a], place[b]] = distance[place[b], place[a]] = d
+    return newick.upgma([n for _, n in names], distance)
+
+
+def alignment_tree(rows: DataFrame) -> newick.Node:
+    """Average linkage of the share of differing letters in the columns where both rows have one, for at most GUIDE_MOST rows."""
+    found = rows.select("name", "aligned").orderBy("name").limit(GUIDE_MOST + 1).collect()
+    if len(found) > GUIDE_MOST:
+        raise ValueError(f"over {GUIDE_MOST} rows: give a tree")
+    letters = np.array([np.frombuffer(r.aligned.encode("latin-1", "replace").upper(), np.uint8) for r in found])
+    real = ~np.isin(letters, [ord("-"), ord(".")])
+    distance = np.ones((len(found), len(found)))
+    for i in range(len(found)):
+        both = real & real[i]
+        n = both.sum(1)
+        distance[i] = np.where(n > 0, ((letters != letters[i]) & both).sum(1) / np.maximum(n, 1), 1.0)
+    return newick.upgma([r.name for r in found], distance)
+
+
+def iterate(spark: SparkSession, sequences: DataFrame, rounds: int = 3, options: Options | None = None, tree: newick.Node | None = None) -> DataFrame:
+    """Alignments along a tree and trees from alignments in turn; the alignment after so many rounds."""
+    if not 1 <= rounds <= 5:
+        raise ValueError("rounds must be 1 to 5")
+    tree = tree or guide_tree(sequences)
+    rows = kept(build(spark, sequences, tree, options))
+    for _ in range(rounds - 1):
+        rows = kept(build(spark, sequences, alignment_tree(rows), options))
+    return rows

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.functions.alphabet import GAP_EXTEND, letter_index, nucleotide_matrix
-from strandflow.operators import profile, qc, rewrite, tree
+from strandflow.functions.alphabet import GAP_EXTEND, Scoring, letter_index, nucleotide_matrix
+from strandflow.functions.storage import kept
+from strandflow.operators import kernel, profile, qc, rewrite, tree
 from strandflow.plans import modes
 from strandflow.plans import projections as P
 from strandflow.sources import fasta, newick
@@ -430,7 +431,7 @@ def kmer_distance(spark, sf_dir):
     return rewrite.kmer_distance(P.short_sequences(spark, sf_dir))
 
 
-# whole alignments: the rows without their gaps are the input
+# whole alignments: the rows without their gaps are the input, all rows are as wide and no column is empty
 
 
 def _names(spark, sf_dir) -> list[str]:
@@ -438,37 +439,78 @@ def _names(spark, sf_dir) -> list[str]:
 
 
 def _ungapped(rows: DataFrame) -> DataFrame:
-    return rows.select("name", qc.ungapped(F.col("aligned")).alias("seq"))
+    rows = kept(rows)
+    widths = rows.agg(F.count_distinct(F.length("aligned")).alias("widths"))
+    letters = rows.select(F.posexplode(F.split("aligned", "")).alias("pos", "ch")).where("ch <> ''")
+    empty = letters.groupBy("pos").agg(F.max((~F.col("ch").isin("-", ".")).cast("int")).alias("any")).agg(F.count_if(F.col("any") == 0).alias("empty_columns"))
+    return rows.select("name", qc.ungapped(F.col("aligned")).alias("seq")).join(F.broadcast(widths)).join(F.broadcast(empty))  # one row each
+
+
+_WHOLE = "1::BIGINT AS widths, 0::BIGINT AS empty_columns"
 
 
 def _backbone(spark, sf_dir) -> DataFrame:
     return modes.build(spark, P.short_sequences(spark, sf_dir), newick.star(_names(spark, sf_dir)), modes.Options(rooted=True))
 
 
-@query(f"WITH {P.SHORT} SELECT name, seq FROM short")
+@query(f"WITH {P.SHORT} SELECT name, seq, {_WHOLE} FROM short")
 def progressive_msa(spark, sf_dir):
     return _ungapped(_backbone(spark, sf_dir))
 
 
-@query(f"WITH {P.SHORT} SELECT name, seq FROM short")
+@query(f"WITH {P.SHORT} SELECT name, seq, {_WHOLE} FROM short")
 def dnc_msa(spark, sf_dir):
     return _ungapped(modes.build(spark, P.short_sequences(spark, sf_dir), newick.star(_names(spark, sf_dir)), modes.Options(most=12)))
 
 
-@query("SELECT p_partkey::VARCHAR AS name, regexp_replace(translate(p_name, ' eaoiunrtslc', '-ACGTACGTACG'), '[-.]', '', 'g') AS seq FROM part")
+@query(f"WITH {P.SHORT} SELECT name, seq, {_WHOLE} FROM short WHERE seq_id % 11 <> 5")
+def deferred_msa(spark, sf_dir):
+    key = F.col("seq_id")
+    rows = P.short_sequences(spark, sf_dir).withColumn("status", F.when(key % 11 == 5, "excluded").when(key % 7 == 0, "deferred").otherwise("ok"))
+    return _ungapped(modes.build(spark, rows, newick.star(_names(spark, sf_dir)), modes.Options(most=12)))
+
+
+@query(f"WITH {P.SHORT} SELECT name, seq, {_WHOLE} FROM short")
+def iterative_msa(spark, sf_dir):
+    return _ungapped(modes.iterate(spark, P.short_sequences(spark, sf_dir), rounds=2))
+
+
+@query("SELECT p_partkey::VARCHAR AS name, regexp_replace(translate(p_name, ' eaoiunrtslc', '-ACGTACGTACG'), '[-.]', '', 'g') AS seq, 1::BIGINT AS widths FROM part")
 def merge_msas(spark, sf_dir):
     rows = P.msa(spark, sf_dir)
     number = F.substring_index("node", "#", -1).cast("int")
-    return _ungapped(modes.merge(rows.select(number.alias("group_id"), F.col("row_id").cast("string").alias("name"), "weight", "aligned")))
+    return _ungapped(modes.merge(rows.select(number.alias("group_id"), F.col("row_id").cast("string").alias("name"), "weight", "aligned"))).drop("empty_columns")
 
 
-@query(f"WITH {P.SHORT}, {P.NEW} SELECT name, seq FROM short UNION ALL SELECT name, seq FROM fresh")
+@query(f"WITH {P.SHORT}, {P.NEW} SELECT name, seq, {_WHOLE} FROM (SELECT name, seq FROM short UNION ALL SELECT name, seq FROM fresh)")
 def place_seqs(spark, sf_dir):
     return _ungapped(modes.place(spark, P.new_sequences(spark, sf_dir), _backbone(spark, sf_dir)))
 
 
-@query(f"WITH {P.SHORT}, {P.NEW} SELECT name, seq FROM short UNION ALL SELECT name, seq FROM fresh")
+@query(f"WITH {P.SHORT}, {P.NEW} SELECT name, seq, {_WHOLE} FROM (SELECT name, seq FROM short UNION ALL SELECT name, seq FROM fresh)")
 def place_seqs_tree(spark, sf_dir):
     fresh = P.new_sequences(spark, sf_dir)
     names = _names(spark, sf_dir) + sorted(r.name for r in fresh.select("name").collect())
     return _ungapped(modes.place_on_tree(spark, fresh, _backbone(spark, sf_dir), newick.star(names), modes.Options(most=64)))
+
+
+# the score of two sequences with free leading gaps, by a fold over rows of cells
+@query(
+    f"""WITH {P.SHORT}, pairs AS (SELECT seq_id, string_split(translate(upper(substr(seq, 1, 24)), 'U', 'T'), '') AS a, string_split(translate(upper(substr(seq, 25, 24)), 'U', 'T'), '') AS b FROM short WHERE length(seq) >= 48),
+scored AS (SELECT seq_id, a, b, list_transform(a, lambda x: list_transform(b, lambda y: CASE WHEN NOT contains('ACGT', x) OR NOT contains('ACGT', y) THEN 0.0::DOUBLE
+  WHEN x = y THEN 18.0::DOUBLE WHEN x || y IN ('AG', 'GA', 'CT', 'TC') THEN -4.0::DOUBLE ELSE -8.0::DOUBLE END)) AS s FROM pairs),
+folded AS (SELECT seq_id, list_reduce(list_prepend(list_transform(range(25), lambda k: 0.0::DOUBLE), s), lambda prev, row: list_reduce(
+  list_prepend([0.0::DOUBLE], list_transform(range(1, 25), lambda j: [j::DOUBLE])),
+  lambda acc, e: list_append(acc, greatest(prev[e[1]::INTEGER] + row[e[1]::INTEGER], prev[e[1]::INTEGER + 1] - 10, acc[e[1]::INTEGER] - 10)))) AS last FROM scored)
+SELECT seq_id, last[25] AS score FROM folded"""
+)
+def pairwise_align_score(spark, sf_dir):
+    scoring = Scoring(gap_open=-10.0, gap_extend=-10.0)
+
+    def run(batches):
+        for batch in batches:
+            batch["score"] = [kernel.pairwise(a, b, scoring)[1] for a, b in zip(batch["a"], batch["b"], strict=True)]
+            yield batch[["seq_id", "score"]]
+
+    rows = P.short_sequences(spark, sf_dir).where("length(seq) >= 48")
+    return rows.select("seq_id", F.substring("seq", 1, 24).alias("a"), F.substring("seq", 25, 24).alias("b")).mapInPandas(run, "seq_id long, score double")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,8 +33,8 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
 def read_alignments(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of each alignment in a folder: those as long as its first row."""
     rows = read_fasta(spark, folder).withColumnRenamed("seq", "aligned")
-    first = Window.partitionBy("file").orderBy("file_ord")
-    return rows.withColumn("width", F.first(F.length("aligned")).over(first)).where("length(aligned) = width").drop("width")
+    first = rows.groupBy("file").agg(F.min_by(F.length("aligned"), "file_ord").alias("width"))
+    return rows.join(first, "file").where("length(aligned) = width").drop("width")
 
 
 def infer_kind(lines: DataFrame, limit: int = 100) -> DataFrame:
@@ -49,3 +49,35 @@ def write_fasta(rows: DataFrame, path: str, text_column: str = "aligned", compre
     """Records in the rows' order of partitions."""
     out = rows.select(F.concat(F.lit(">"), "name", F.lit("\n"), text_column).alias("value"))
     out.write.mode(mode).option("compression", "gzip" if compress else "none").text(path)
+
+
+def read_sequences(spark: SparkSession, path: str, leaves: DataFrame) -> DataFrame:
+    """Records of FASTA files that are leaves(name, group_id, weight) of a tree, with the leaf's part and weight; the first of repeated names."""
+    rows = read_fasta(spark, path)
+    one = rows.groupBy("name").agg(F.min_by("seq", F.struct("file", "file_ord")).alias("seq"), F.min("file_ord").alias("seq_id"))
+    return one.join(leaves, "name")
+
+
+def write_parts(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """The alignment of each part in a folder of its own (group_id=...)."""
+    rows.select("group_id", F.concat(F.lit(">"), "name", F.lit("\n"), "aligned").alias("value")).repartition("group_id").write.mode(mode).partitionBy("group_id").text(path)
+
+
+def write_filtered(sequences: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """The sequences that quality control excluded."""
+    write_fasta(sequences.where("status = 'excluded'"), path, "seq", mode=mode)
+
+
+def write_tree(spark: SparkSession, tree, path: str, mode: str = "errorifexists") -> None:
+    """A tree as Newick text, such as the pruned one."""
+    from strandflow.sources import newick
+
+    spark.createDataFrame([(newick.write(tree),)], "value string").coalesce(1).write.mode(mode).text(path)
+
+
+def write_subtrees(spark: SparkSession, roots: dict, path: str, mode: str = "errorifexists") -> None:
+    """The tree of each part of newick.partition() in a folder of its own (group_id=...)."""
+    from strandflow.sources import newick
+
+    rows = [(g, newick.write(newick.copy(n, lambda x, g=g: x.group == g))) for g, n in roots.items()]
+    spark.createDataFrame(rows, "group_id int, value string").write.mode(mode).partitionBy("group_id").text(path)

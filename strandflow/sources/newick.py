@@ -330,3 +330,47 @@ def schedule(root: Node) -> list[tuple[int, int, str, str]]:
         if line:
             ready[id(n)] = line[0]
     return [(level, k, a, b) for level in sorted(pairs) for k, (a, b) in enumerate(pairs[level])]
+
+
+def part_schedule(tree: Node) -> list[list[tuple[int, int]]]:
+    """Levels of (group, group it takes in) over a tree of parts: children into their parent, one at a time, as early as both are ready."""
+    ready: dict[int, int] = {}
+    levels: list[list[tuple[int, int]]] = []
+    for n in tree.walk():
+        at = 0
+        for c in sorted(n.children, key=lambda c: (ready[id(c)], c.group)):
+            at = max(at, ready[id(c)])
+            while len(levels) <= at:
+                levels.append([])
+            levels[at].append((n.group, c.group))
+            at += 1
+        ready[id(n)] = at
+    return levels
+
+
+def upgma(names: list[str], distance) -> Node:
+    """A rooted tree of average linkage from a square matrix of distances; the first pair of equals joins first."""
+    import numpy as np
+
+    if not names:
+        raise ValueError("no names for a tree")
+    d = np.array(distance, float)
+    np.fill_diagonal(d, np.inf)
+    nodes: list[Node | None] = [Node(n, 0.0, is_leaf=True) for n in names]
+    size, height = np.ones(len(names)), np.zeros(len(names))
+    for k in range(1, len(names)):
+        i, j = divmod(int(d.argmin()), len(names))
+        i, j = min(i, j), max(i, j)
+        at = d[i, j] / 2
+        joined = Node(f"node_u{k}", 0.0)
+        for x in (i, j):
+            nodes[x].length = max(at - height[x], 0.0)
+            joined.add(nodes[x])
+        mean = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+        mean[i] = np.inf
+        d[i], d[:, i] = mean, mean
+        d[j], d[:, j] = np.inf, np.inf
+        nodes[i], nodes[j], size[i], height[i] = joined, None, size[i] + size[j], at
+    root = next(n for n in nodes if n is not None)
+    repair_lengths(root)
+    return root

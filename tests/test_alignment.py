@@ -46,7 +46,140 @@ def test_inner_alignments_are_optimal(a, b):
     assert (path != 1).sum() == len(a) and (path != 2).sum() == len(b)
     # the last columns always face each other, as in the recurrence
     best = max(score_of(p, sim, scoring) for p in every_path(len(b), len(a)) if p[-1] == 0)
-    assert score_of(path.tolist(), sim, scoring) >= best - 2 * abs(scoring.gap_open)
+    assert score_of(path.tolist(), sim, scoring) == pytest.approx(best)
+
+
+def starts_once(path):
+    """Only one side has gaps before the first match, as in the recurrence."""
+    before = path[: path.index(0)] if 0 in path else [1, 2]
+    return len(set(before)) < 2
+
+
+def random_problem(rng, most):
+    scoring = Scoring(gap_open=-float(rng.integers(5, 30)), gap_extend=-float(rng.integers(1, 5)))
+    a, b = ("".join(rng.choice(list("ACGT"), int(rng.integers(1, most)))) for _ in range(2))
+    ref, qry = kernel.profile_of([a], None), kernel.profile_of([b], None)
+    return (kernel.similarity(ref, qry, scoring, scoring.gap_extend), *kernel.gap_penalties(ref, scoring), *kernel.gap_penalties(qry, scoring), scoring), (ref, qry)
+
+
+def test_random_alignments_are_optimal():
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        problem, _ = random_problem(rng, 6)
+        path, score = kernel.align_columns(*problem)
+        best = max(score_of(p, problem[0], problem[-1]) for p in every_path(*problem[0].shape) if starts_once(p))
+        assert score_of(path.tolist(), problem[0], problem[-1]) == pytest.approx(best)
+
+
+def test_blocks_of_diagonals_and_cells_give_the_whole_matrix():
+    """The same path with a few pointers at a time, with similarities by the cell, and with a drop that is doubled until the band lives."""
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        problem, (ref, qry) = random_problem(rng, 60)
+        path, score = kernel.align_columns(*problem)
+        for pointers in (1, 200, 1000):
+            again, same = kernel.align_columns(*problem, pointers=pointers)
+            assert again.tolist() == path.tolist() and same == score
+        cells = kernel.Similarity(ref, qry, problem[-1], problem[-1].gap_extend)
+        assert kernel.align_columns(cells, *problem[1:])[1] == pytest.approx(score)
+        assert kernel.align_columns(*problem, xdrop=1e9)[1] == score
+        near, at_most = kernel.align_columns(*problem, xdrop=1.0)
+        assert at_most <= score + 1e-9 and (near != 1).sum() == len(ref) and (near != 2).sum() == len(qry)
+
+
+def test_protein():
+    letters = "ACDEFGHIKLMNPQRSTVWY"
+    matrix = read_matrix(" ".join(letters) + "\n" + "\n".join(" ".join("25" if i == j else "-5" for j in range(20)) for i in range(20)), "p")
+    scoring = Scoring(kind="p", matrix=matrix)
+    whole, part = (kernel.profile_of([x], None, "p") for x in ("MKTAYIAKQRX", "MKTAYAKQRX"))
+    assert kernel.align_profiles(whole, part, scoring).tolist() in ([0] * 5 + [2] + [0] * 5, [0] * 4 + [2] + [0] * 6)
+    assert kernel.consensus_of(kernel.profile_of(["MK-", "MKX"], None, "p"), "p") == "MKX"
+    with pytest.raises(ValueError):
+        Scoring(kind="p")
+
+
+def test_closure_of_a_long_chain(spark):
+    """Deeper than Spark's recursion limit, and over a million rows."""
+    from strandflow.operators import tree
+
+    n = 1500
+    nodes = spark.range(n).selectExpr("cast(id as string) as node_id", "case when id > 0 then cast(id - 1 as string) end as parent_id")
+    up = tree.closure(spark, nodes)
+    assert up.count() == n * (n + 1) // 2
+    assert up.where("cast(node_id as int) - cast(anc_id as int) <> dist").isEmpty()
+
+
+def test_average_linkage():
+    rng = np.random.default_rng(4)
+    d = rng.random((7, 7))
+    d = (d + d.T) / 2
+    made = newick.upgma([f"s{k}" for k in range(7)], d)
+    groups = [frozenset([k]) for k in range(7)]
+    found = {frozenset(int(x.name[1:]) for x in n.leaves()) for n in made.walk() if n.children}
+    expected = set()
+    while len(groups) > 1:  # by the mean over all pairs, from the definition
+        a, b = min(itertools.combinations(groups, 2), key=lambda p: np.mean([d[i, j] for i in p[0] for j in p[1]]))
+        groups = [g for g in groups if g not in (a, b)] + [a | b]
+        expected.add(a | b)
+    assert found == expected
+
+
+def test_part_schedule():
+    tree = newick.binarize(newick.star([f"s{k:02d}" for k in range(40)]))
+    roots = newick.partition(tree, 6)
+    levels = newick.part_schedule(newick.contract(tree, roots))
+    gone = set()
+    for pairs in levels:
+        named = [g for p in pairs for g in p]
+        assert len(named) == len(set(named)) and not gone & set(named)
+        gone |= {b for _, b in pairs}
+    assert gone == set(roots) - {tree.group} and len(levels) < len(roots) - 1
+
+
+def test_deferred_sequences_come_last(spark):
+    good = "ACGTTGCAACGGTATCGATTACAGGC"
+    rows = [(k, f"s{k}", good[: 26 - k % 3], "ok") for k in range(6)] + [(6, "s6", "TTTT", "deferred"), (7, "s7", "ACGTTGCNNNNNNNNNNNNNNCAGGC", "deferred"), (8, "s8", good, "excluded")]
+    frame = spark.createDataFrame(rows, "seq_id long, name string, seq string, status string")
+    tree = newick.star([f"s{k}" for k in range(9)])
+    found = {r.name: r.aligned for r in modes.build(spark, frame, tree, modes.Options(most=3)).collect()}
+    assert set(found) == {f"s{k}" for k in range(8)} and len({len(x) for x in found.values()}) == 1
+    assert all(found[n].replace("-", "") == s for _, n, s, status in rows if status != "excluded")
+    alone = {r.name: r.aligned for r in modes.build(spark, frame.where("status = 'ok'"), newick.prune(tree, {f"s{k}" for k in range(6)}), modes.Options(most=3)).collect()}
+    wide = ["".join(c) for c in zip(*[found[n] for n in sorted(alone)], strict=True)]
+    kept = [c for c in wide if set(c) != {"-"}]
+    assert ["".join(c) for c in zip(*[alone[n] for n in sorted(alone)], strict=True)] == kept  # the others are aligned as if there were none
+
+
+def test_files_of_a_run(spark, tmp_path):
+    """Tree and sequences from files, an alignment and its parts, filtered rows and trees to files."""
+    names = [f"s{k}" for k in range(8)]
+    (tmp_path / "in.fa").write_text("".join(f">{n} text\nACGTTG\nCA{'ACGT'[k % 4]}C\n" for k, n in enumerate([*names, "other"])))
+    tree = newick.prune(newick.parse("(" + ",".join([*names, "gone"]) + ");"), set(names))
+    tree = newick.reroot(tree)
+    roots = newick.partition(tree, 3)
+    leaves = spark.createDataFrame([(n.name, n.group, 1.0) for n in tree.walk() if n.is_leaf], "name string, group_id int, weight double")
+    rows = fasta.read_sequences(spark, str(tmp_path / "in.fa"), leaves)
+    assert {r.name for r in rows.collect()} == set(names)
+    made = modes.build(spark, rows.select("seq_id", "name", "seq"), tree, modes.Options(most=3))
+    fasta.write_parts(made, str(tmp_path / "parts"))
+    assert sum(fasta.read_fasta(spark, str(p)).count() for p in (tmp_path / "parts").iterdir() if p.is_dir()) == 8
+    fasta.write_tree(spark, tree, str(tmp_path / "tree"))
+    text = spark.read.text(str(tmp_path / "tree")).first()[0]
+    assert sorted(n.name for n in newick.parse(text).leaves()) == names
+    fasta.write_subtrees(spark, roots, str(tmp_path / "subtrees"))
+    assert spark.read.text(str(tmp_path / "subtrees")).count() == len(roots)
+    status = rows.select("name", "seq").selectExpr("name", "seq", "case when name = 's1' then 'excluded' else 'ok' end as status")
+    fasta.write_filtered(status, str(tmp_path / "filtered"))
+    assert [r.name for r in fasta.read_fasta(spark, str(tmp_path / "filtered")).collect()] == ["s1"]
+
+
+def test_iterations(spark):
+    rows = [(k, f"s{k}", "ACGTTGCAACGGTATCGA"[k % 3 : 18 - k % 2]) for k in range(6)]
+    frame = spark.createDataFrame(rows, "seq_id long, name string, seq string")
+    found = modes.iterate(spark, frame, rounds=2).collect()
+    assert {(r.name, r.aligned.replace("-", "")) for r in found} == {(n, s) for _, n, s in rows}
+    with pytest.raises(ValueError):
+        modes.iterate(spark, frame, rounds=6)
 
 
 def test_equal_sequences_have_no_gaps():
