@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not current.isDefined():
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strandflow-"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return current.get()
