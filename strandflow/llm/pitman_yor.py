@@ -51,6 +51,8 @@ from strandflow.llm.common import materialize, release, small_batches, trim
 THETA = 1.0
 BURN_IN, SAMPLES = 2, 3
 EXACT = 128
+#: Logarithms are summed in these parts of one: sums of whole numbers don't depend on their order, and are sent in few bytes.
+SCALE = {"score": 1 << 24, "base": 1 << 30}
 HOT = 512
 BLOCK_BYTES = 12 << 20
 SHARD_BYTES = 8 << 20
@@ -65,29 +67,32 @@ _SEEN = "held tokens seen_doc seen_word seen_context seen_count".split()
 
 
 def _pack(x: np.ndarray) -> bytes:
+    """An array's bytes by their place in its numbers (the high ones compress), compressed."""
     import zstandard
 
-    return x.dtype.str.encode() + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+    planes = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T)
+    return x.dtype.str.encode() + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def _unpack(raw: bytes) -> np.ndarray:
     import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[3:]), np.dtype(raw[:3].decode()))
+    dtype = np.dtype(raw[:3].decode())
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[3:]), np.uint8).reshape(dtype.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
 
 
 def _narrow(x: np.ndarray) -> np.ndarray:
     most = int(x.max(initial=0))
-    return x.astype("<u2" if most < 1 << 16 else "<u4")
+    return x.astype("<u2" if most < 1 << 16 else "<u4" if most < 1 << 32 else "<u8")
 
 
 def _differences(x: np.ndarray) -> np.ndarray:
-    """Rising 63-bit ids as the planes of their differences' bytes, the high ones of which compress."""
-    return np.ascontiguousarray(np.diff(x, prepend=0).astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return np.diff(x, prepend=0).astype("<u8")
 
 
-def _summed(planes: np.ndarray) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel().astype(np.int64))
+def _summed(x: np.ndarray) -> np.ndarray:
+    return np.cumsum(x.astype(np.int64))
 
 
 def _record(names: list[str], rows: list[dict]) -> pa.RecordBatch:
@@ -502,9 +507,9 @@ def _score(shared: list[np.ndarray], buckets: int):
                 customers, tables, seats = history[step]
                 shard.seat(*seats)
                 mean += shard.predictive(customers, tables, shared[step])[1] / SAMPLES
-            score = np.log10(mean)
+            score = np.rint(-np.log10(mean) * SCALE["score"])
             counts = np.bincount(shard.word, shard.count, shard.words)
-            base = np.log10((counts + 1) / (final.tokens + final.known + 1))[shard.word]
+            base = np.rint(-np.log10((counts + 1) / (final.tokens + final.known + 1)) * SCALE["base"])[shard.word]
             known = (counts > 0)[shard.word]
             doc, kind, cuts = (_unpack(row[n]) for n in ("doc", "type", "cuts"))
             hot_type, hot_pair, hot_cuts = (_unpack(row[n]) for n in ("hot_type", "hot_pair", "hot_cuts"))
@@ -512,9 +517,9 @@ def _score(shared: list[np.ndarray], buckets: int):
                 n = int(doc[a:b].max(initial=0)) + 1
                 docs = np.flatnonzero(np.bincount(doc[a:b], minlength=n))
                 part = {"doc": _narrow(docs)}
-                for name, value, dtype in (("score", score, "<f8"), ("base", base, "<f8"), ("known", known, "<u4")):
-                    part[name] = np.bincount(doc[a:b], value[kind[a:b]], n)[docs].astype(dtype)
-                    part["pair_" + name] = value[hot_type[c:d]].astype(dtype)
+                for name, value in (("score", score), ("base", base), ("known", known)):
+                    part[name] = _narrow(np.bincount(doc[a:b], value[kind[a:b]], n)[docs])
+                    part["pair_" + name] = _narrow(value[hot_type[c:d]])
                 part["pair"] = hot_pair[c:d]
                 out.append({"block": block} | {k: _pack(v) for k, v in part.items()})
             del shard, history, mean, score, base, known, doc, kind
@@ -546,8 +551,8 @@ def _sum(train_tokens: int):
                 pa.array(tokens.astype(np.int64), pa.int64()),
                 pa.array(np.rint(sums["known"]).astype(np.int64), pa.int64()),
                 pa.array([train_tokens] * n, pa.int64()),
-                pa.array(sums["base"], pa.float64()),
-                pa.array(sums["score"], pa.float64()),
+                pa.array(-sums["base"] / SCALE["base"], pa.float64()),
+                pa.array(-sums["score"] / SCALE["score"], pa.float64()),
             ],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
