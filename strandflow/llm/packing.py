@@ -31,22 +31,26 @@ from pyspark.sql import functions as F
 from strandflow.llm.common import in_parts, process_cache, small_batches
 
 GROUP_DOCS = 16_384
-MAX_WORDS = 1_100_000
+MAX_WORDS = 900_000
 PART_BYTES = 4 << 20
 MARKS = ",.;:!?"
-#: Letters below are letters in every version of Unicode.
-OLD_LETTERS = "\u0530"
+#: How a byte-level vocabulary writes the space and the line feed.
+STARTS = ("\u0120", "\u010a")
 
-#: White space other than the space and the line feed.
-_OTHER = re.compile(r"[^\S \n]")
+#: White space other than the space and the line feed, or a character that stands for something here.
+_OTHER = re.compile(r"[^\S \n]|\0")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: A mark between a letter or digit and a space; these are letters in every version of Unicode.
+_MARKED = re.compile(f"([{MARKS}])(?<=[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03a3-\u03f5\u0400-\u0481\u048a-\u052f].) ")
 
 
-def words_of(text: str) -> list[str]:
-    """The text cut at each space that stands between two characters that are not white space."""
-    if text[:1] == " " or text[-1:] == " " or "  " in text or "\n " in text or " \n" in text or _OTHER.search(text):
-        return _CUT.split(text)
-    return text.split(" ")
+def words_of(text: str) -> list[str] | None:
+    """The text cut at each space, before each line feed, and around marks (written \\0 and the mark); none if its white space isn't single."""
+    if text[:1] == " " or text[-1:] in (" ", "\n") or "  " in text or "\n " in text or " \n" in text or "\n\n" in text:
+        return None
+    if not text.replace("\n", "").isprintable() and _OTHER.search(text):  # the search alone is slower
+        return None
+    return _MARKED.sub(r" \0\1 ", text.replace("\n", " \n")).split(" ")
 
 
 class Encoder(dict):
@@ -54,9 +58,11 @@ class Encoder(dict):
 
     A space between two characters that are not white space always starts a new
     match of the tokenizer's pattern, so the ids of a text are those of its
-    words, each but the first with its space; nor do letters and a mark after them
-    share a match. Texts that hold an added token go to the tokenizer whole. At
-    most MAX_WORDS words are kept.
+    words, each but the first with its space. Nor do letters and a mark after them
+    share a match, or a line feed and the letters beside it. A text's unknown words
+    go to the tokenizer in one call, and its ids are cut where a token starts with
+    the space or the line feed. Texts that hold an added token go to the tokenizer
+    whole. At most MAX_WORDS words are kept.
     """
 
     def __init__(self, path: str) -> None:
@@ -68,28 +74,47 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         split = self.tokenizer.pre_tokenizer.pre_tokenize_str if self.tokenizer.pre_tokenizer else lambda x: []
-        self.marks = {x: self.whole(x) for x in MARKS if [b - a for _, (a, b) in split(" a\u00e9" + x)] == [3, 1]}
+        edges = [b - a for _, (a, b) in split("".join(f" a\u00e9{x} a1{x}\na\u00e9" for x in MARKS))]
+        self.single = edges == [3, 1, 2, 1, 1, 1, 2] * len(MARKS) and not any(" " in x or "\n" in x for x in self.added)
+        vocabulary = self.tokenizer.get_vocab()
+        self.starts = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.starts[[i for token, i in vocabulary.items() if token.startswith(STARTS)]] = True
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.update(("\0" + x, self.whole(x)) for x in MARKS)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def learn(self, words: list[str]) -> None:
+        """The ids of unknown words without white space inside, by one call."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join([w if w[0] == "\n" else " " + w for w in words])], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(self.starts[ids]) * 4
+        if len(cuts) == len(words) and not cuts[0]:  # else they are met one by one
+            raw, cuts = ids.tobytes(), cuts.tolist()
+            self.update(zip(words, map(raw.__getitem__, map(slice, cuts, [*cuts[1:], len(raw)])), strict=True))
+
     def __missing__(self, word: str) -> bytes:
-        mark = self.marks.get(word[-1:])
-        stem = word[:-1]
-        if mark and stem.isalpha() and max(stem) < OLD_LETTERS:
-            ids = self[stem] + mark
-        else:
-            ids = self.whole(" " + word)
-        self[word] = ids
+        ids = self[word] = self.whole(word if word[0] == "\n" else " " + word)
         return ids
 
     def text(self, text: str) -> bytes:
         if not text or any(x in text for x in self.added):
             return self.whole(text)
         if len(self) > MAX_WORDS:
-            self.clear()
-        first, *rest = words_of(text)
-        return self.whole(first) + b"".join(map(self.__getitem__, rest))
+            self.reset()
+        words = words_of(text) if self.single else None
+        if words is None:
+            first, *rest = _CUT.split(text)
+            return self.whole(first) + b"".join([self.whole(" " + w) if w.isspace() or w[0] in "\0\n" else self[w] for w in rest])
+        first, *rest = words
+        found = list(map(self.get, rest))
+        if None in found:
+            self.learn(list({w for w, ids in zip(rest, found, strict=True) if ids is None}))
+            found = [self[w] if ids is None else ids for w, ids in zip(rest, found, strict=True)]
+        return self.whole(first) + b"".join(found)
 
 
 def encoder(path: str) -> Encoder:

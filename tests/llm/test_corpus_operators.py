@@ -1,6 +1,7 @@
 """Operators over the whole corpus, against brute force."""
 
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -36,6 +37,17 @@ def test_first_fit_decreasing():
             room[first] -= n
 
 
+def test_packing_words_are_the_tokenizers():
+    encoder = packing.Encoder(tokenizers.path("byte_bpe_50k.json"))
+    assert encoder.single
+    rng = random.Random(1)
+    signs = [*"ab1,.!?;:'s\u00e9\u00d7\u00f7\u0436\u03b1\u4f60\0-", "don't", "word", "<|endoftext|>", "\U0001f600", "\u0301"]
+    for between in ([*" \n\t\xa0\x85\x1c", "  ", "\n\n", " \n"], ["", "", " ", " ", "\n"]):  # any white space, single white space
+        for _ in range(5000):
+            text = "".join(rng.choice(signs) + rng.choice(between) * rng.randint(0, 1) for _ in range(rng.randint(0, 14)))
+            assert encoder.text(text) == encoder.whole(text), repr(text)
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
