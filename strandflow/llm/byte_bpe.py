@@ -41,8 +41,8 @@ from strandflow.llm.common import small_batches, trim
 
 BLOCK_BYTES = 512 << 10
 #: Text of a task: a large task meets fewer new words than its parts would.
-TASK_BYTES = 64 << 20
-MAX_WORDS = 800_000
+TASK_BYTES = 48 << 20
+MAX_WORDS = 500_000
 MAX_CHUNKS = 60_000
 #: Bytes of a word that the fold merges; longer ones go to the heap.
 LONGEST = 64
