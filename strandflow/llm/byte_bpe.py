@@ -27,8 +27,6 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,13 +35,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import small_batches, trim
+from strandflow.llm.common import CUT, edges_of, small_batches, trim, words_of
 
 BLOCK_BYTES = 512 << 10
 #: Text of a task: a large task meets fewer new words than its parts would.
 TASK_BYTES = 48 << 20
 MAX_WORDS = 500_000
-MAX_CHUNKS = 60_000
 #: Bytes of a word that the fold merges; longer ones go to the heap.
 LONGEST = 64
 #: Ids take 16 bits; a look-up that finds no merge leaves more.
@@ -55,10 +52,6 @@ LAST = 1 << 60
 #: Letters below are letters in every version of Unicode.
 OLD_LETTERS = "\u0530"
 
-#: A space between two characters that are surely not white space always starts a match.
-_LOOSE = re.compile(r" \s|\s |^ | $")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -70,11 +63,6 @@ def word_pattern(pattern: str) -> regex.Pattern:
     return regex.compile(pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"))
 
 
-def chunks_of(text: str) -> list[str]:
-    """Pieces of text, each but the first without its leading space, that can be matched one by one."""
-    return _CUT.split(text) if _LOOSE.search(text) else text.split(" ")
-
-
 def last_merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
     """The two tokens whose merge makes piece.
 
@@ -229,25 +217,47 @@ def _blocks(pattern: str, ranks: dict[bytes, int], id_column: str, text_column:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = word_pattern(pattern).findall
-        words: dict[str, int] = {}
-        fresh, ids, rows, held, start = [], [], [], 0, 0
-
-        def number(word: str) -> int:
-            at = words.get(word)
-            if at is None:
-                at = words[word] = len(words)
-                fresh.append(word)
-            return at
+        fresh, ids, rows, held, start, count = [], [], [], 0, 0, 0
+        plain = match(" aB\u00e9\u0436") == [" aB\u00e9\u0436"]  # the pattern takes a space and letters whole
+        single = edges_of(lambda x: map(len, match(x)))
 
         class Chunks(dict):
-            """The indices of a chunk's words; a chunk stands for itself with the space before it."""
+            """The number of a chunk's word, for chunks of one; those of a text's words_of, and other words after a \\0."""
+
+            def letters(self, chunk: str) -> bool:
+                return plain and chunk.isalpha() and (chunk.isascii() or max(chunk) < OLD_LETTERS)
+
+            def number(self, word: str) -> bytes:
+                return self[word[1:] if word[0] == " " and self.letters(word[1:]) else "\0" + word]
 
             def __missing__(self, chunk: str) -> bytes:
-                self[chunk] = out = array("I", [number(" " + chunk)] if plain and chunk.isalpha() and max(chunk) < OLD_LETTERS else map(number, match(" " + chunk))).tobytes()
-                return out
+                nonlocal count
+                if chunk[0] == "\0":
+                    word = chunk[1:]
+                elif self.letters(chunk):
+                    word = " " + chunk
+                else:
+                    found = match(chunk if chunk[0] == "\n" else " " + chunk)
+                    numbers = b"".join(map(self.number, found))
+                    if len(found) == 1:
+                        self[chunk] = numbers
+                    return numbers
+                fresh.append(word)
+                self[chunk] = at = count.to_bytes(4, "little")
+                count += 1
+                return at
 
         chunks = Chunks()
-        plain = match(" aB\u00e9\u0436") == [" aB\u00e9\u0436"]  # the pattern takes a space and letters whole
+
+        def row(text: str) -> bytes:
+            pieces = words_of(text) if single else None
+            if pieces is None:
+                first, *rest = CUT.split(text)
+                last = b"".join([b"".join(map(chunks.number, match(" " + x))) if x[0] in "\0\n" else chunks[x] for x in rest])
+            else:
+                first, *rest = pieces
+                last = b"".join(map(chunks.__getitem__, rest))
+            return b"".join(map(chunks.number, match(first))) + last
 
         def block() -> pa.RecordBatch:
             spelled = [w.encode() for w in fresh]
@@ -267,22 +277,14 @@ def _blocks(pattern: str, ranks: dict[bytes, int], id_column: str, text_column:
             for key, text in zip(batch.column(id_column), batch.column(text_column), strict=True):
                 ids.append(key.as_py())
                 text = text.as_py()
-                if text:
-                    first, *rest = chunks_of(text)
-                    rows.append(array("I", map(number, match(first))).tobytes() + b"".join(map(chunks.__getitem__, rest)))
-                    held += len(text)
-                else:
-                    rows.append(b"")
-                held += 64
-                if len(chunks) > MAX_CHUNKS:
-                    chunks.clear()
+                rows.append(row(text) if text else b"")
+                held += len(text or "") + 64
                 if held >= BLOCK_BYTES:
                     yield block()
-                    fresh, ids, rows, held, start = [], [], [], 0, len(words)
-                    if len(words) >= MAX_WORDS:
-                        words.clear()
+                    fresh, ids, rows, held, start = [], [], [], 0, count
+                    if count >= MAX_WORDS:
                         chunks.clear()
-                        start = 0
+                        start = count = 0
         if ids:
             yield block()
         trim()

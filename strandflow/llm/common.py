@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -123,3 +124,25 @@ def in_parts(batch, columns: list[str], most_rows: int, most_bytes: int):
         end = min(at + most_rows, max(at + 1, int(np.searchsorted(ends, limit, side="right"))))
         yield batch.slice(at, end - at)
         at = end
+
+
+MARKS = ",.;:!?"
+#: White space other than the space and the line feed, or a character that stands for something here.
+_OTHER = re.compile(r"[^\S \n]|\0")
+CUT = re.compile(r"(?<=\S) (?=\S)")
+#: A mark between a letter or digit and a space; these are letters in every version of Unicode.
+_MARKED = re.compile(f"([{MARKS}])(?<=[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03a3-\u03f5\u0400-\u0481\u048a-\u052f].) ")
+
+
+def words_of(text: str) -> list[str] | None:
+    """The text cut at each space, before each line feed, and around marks (written \\0 and the mark); none if its white space isn't single."""
+    if text[:1] == " " or text[-1:] in (" ", "\n") or "  " in text or "\n " in text or " \n" in text or "\n\n" in text:
+        return None
+    if not text.replace("\n", "").isprintable() and _OTHER.search(text):  # the search alone is slower
+        return None
+    return _MARKED.sub(r" \0\1 ", text.replace("\n", " \n")).split(" ")
+
+
+def edges_of(sizes) -> bool:
+    """Whether a tokenizer's pattern starts a match wherever words_of() cuts; sizes(text) are its matches' lengths."""
+    return list(sizes("".join(f" a\u00e9{x} a1{x}\na\u00e9" for x in MARKS))) == [3, 1, 2, 1, 1, 1, 2] * len(MARKS)

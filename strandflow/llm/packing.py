@@ -18,7 +18,6 @@ table gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -28,30 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import in_parts, process_cache, small_batches
+from strandflow.llm.common import CUT, MARKS, edges_of, in_parts, process_cache, small_batches, words_of
 
 GROUP_DOCS = 16_384
 MAX_WORDS = 900_000
 PART_BYTES = 4 << 20
-MARKS = ",.;:!?"
 #: How a byte-level vocabulary writes the space and the line feed.
 STARTS = ("\u0120", "\u010a")
 
-#: White space other than the space and the line feed, or a character that stands for something here.
-_OTHER = re.compile(r"[^\S \n]|\0")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-#: A mark between a letter or digit and a space; these are letters in every version of Unicode.
-_MARKED = re.compile(f"([{MARKS}])(?<=[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03a3-\u03f5\u0400-\u0481\u048a-\u052f].) ")
-
-
-def words_of(text: str) -> list[str] | None:
-    """The text cut at each space, before each line feed, and around marks (written \\0 and the mark); none if its white space isn't single."""
-    if text[:1] == " " or text[-1:] in (" ", "\n") or "  " in text or "\n " in text or " \n" in text or "\n\n" in text:
-        return None
-    if not text.replace("\n", "").isprintable() and _OTHER.search(text):  # the search alone is slower
-        return None
-    return _MARKED.sub(r" \0\1 ", text.replace("\n", " \n")).split(" ")
-
 
 class Encoder(dict):
     """Ids of a byte-level BPE tokenizer, a word at a time; as a dict, the words known so far.
@@ -74,8 +57,7 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         split = self.tokenizer.pre_tokenizer.pre_tokenize_str if self.tokenizer.pre_tokenizer else lambda x: []
-        edges = [b - a for _, (a, b) in split("".join(f" a\u00e9{x} a1{x}\na\u00e9" for x in MARKS))]
-        self.single = edges == [3, 1, 2, 1, 1, 1, 2] * len(MARKS) and not any(" " in x or "\n" in x for x in self.added)
+        self.single = edges_of(lambda x: [b - a for _, (a, b) in split(x)]) and not any(" " in x or "\n" in x for x in self.added)
         vocabulary = self.tokenizer.get_vocab()
         self.starts = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.starts[[i for token, i in vocabulary.items() if token.startswith(STARTS)]] = True
@@ -107,7 +89,7 @@ class Encoder(dict):
             self.reset()
         words = words_of(text) if self.single else None
         if words is None:
-            first, *rest = _CUT.split(text)
+            first, *rest = CUT.split(text)
             return self.whole(first) + b"".join([self.whole(" " + w) if w.isspace() or w[0] in "\0\n" else self[w] for w in rest])
         first, *rest = words
         found = list(map(self.get, rest))

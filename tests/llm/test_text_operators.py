@@ -2,10 +2,12 @@
 
 import base64
 import hashlib
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers as tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -311,3 +313,22 @@ def test_near_columns(spark):
         own, r = fingerprint.digest(text.encode()), rows[key]
         assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(text), hashlib.sha256(other).hexdigest(), own, fingerprint.digest(other))
         assert r.near_edited == fingerprint.likeness(own, fingerprint.digest(other)) and r.near_next == fingerprint.likeness(own, fingerprint.digest(after.encode()))
+
+
+def test_byte_bpe_blocks_hold_every_match():
+    ranks = byte_bpe.read_ranks(tokenizers.path("byte_bpe_50k.tiktoken"))
+    match = byte_bpe.word_pattern(tokenizers.PATTERN).findall
+    rng = random.Random(2)
+    signs = [*"ab1,.!?;:'sé×÷жα你\0-", "don't", "word", "\U0001f600", "́"]
+    texts = [None, "", "\n", " "]
+    for between in ([*" \n\t\xa0\x85\x1c", "  ", "\n\n", " \n"], ["", "", " ", " ", "\n"]):  # any white space, single white space
+        texts += ["".join(rng.choice(signs) + rng.choice(between) * rng.randint(0, 1) for _ in range(rng.randint(0, 14))) for _ in range(5000)]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    words, seen = [], 0
+    for block in byte_bpe._blocks(tokenizers.PATTERN, ranks, "doc_id", "text")(iter([batch])):
+        words += block.column("words")[0].as_py()
+        for row in block.column("docs")[0].as_py():
+            got = [words[i] for i in np.frombuffer(row["words"], np.uint32)]
+            assert got == [[ranks[bytes([b])] for b in w.encode()] for w in match(texts[row["id"]] or "")], repr(texts[row["id"]])
+            seen += 1
+    assert seen == len(texts) and len({tuple(w) for w in words}) == len(words)
