@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from strandflow.llm.common import CUT, edges_of, small_batches, trim, words_of
 
-BLOCK_BYTES = 512 << 10
+BLOCK_BYTES = 128 << 10
 #: Text of a task: a large task meets fewer new words than its parts would.
 TASK_BYTES = 48 << 20
 MAX_WORDS = 500_000
