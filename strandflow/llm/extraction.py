@@ -5,11 +5,16 @@ Markup is stripped into lines, one for each block element; boilerplate elements
 as much as its text is long. Lines outside articles weigh nothing on a page that
 has an article (or main) element, nor do lines of containers (the nearest div,
 section, table cell, ..., or the page) whose text is for the larger part in links.
-Where weighing and weightless lines meet, WINDOW empty lines stand.
+A weightless line takes a place for each of its links, one at least. WINDOW empty
+places stand where articles begin or end, and between two lines if neither one's
+container holds the other's (cells, quotes and figures pass for what is around them).
 
-The weights are summed over windows of WINDOW lines that slide by one. A surge is
-where the sum rises from nothing, a dive where it falls back to nothing, and the
-text between them is kept, on every page.
+The weights are summed over windows of WINDOW places that slide by one. A surge is
+where the sum rises from nothing, a dive where it falls back to nothing. The text
+from the first line that weighs after the surge to the dive is kept, on every page:
+the sums bridge fewer than WINDOW links within a text (a linked cell, caption, quote)
+and fall to nothing over a menu. Inside articles every line weighs, so that there a
+dive only comes with the article's end.
 
 A boilerplate element ends at its own end tag, with its parent's or, where HTML
 lets it be left out (p, li, td, ...), at the next sibling; one that is never closed
@@ -29,6 +34,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,6 +54,8 @@ _BLOCK = set(
 _BOILER = set("nav menu footer aside form button select dialog head".split()) | _RAW
 #: Elements whose lines are judged together.
 _CONTAINERS = set("article aside blockquote body center details div fieldset figure footer form header main nav section table td th".split())
+#: Containers that stand within a text.
+_SOFT = set("blockquote details figure table td th".split())
 #: Start tags that end an open element whose end tag may be left out.
 _ENDS_P = _BLOCK - set("body caption dd dt head html legend li option summary tbody td tfoot th thead tr".split())
 _SIBLINGS = {"p": _ENDS_P, "option": {"option", "optgroup"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "li": {"li"}}
@@ -70,29 +78,45 @@ def _named_boilerplate(attributes: str) -> bool:
     return any(_NAMES.search(value.strip("\"'")) for _, value in _ATTRIBUTE.findall(attributes))
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
-    """(text, characters in links, inside an article, container) of each line outside boilerplate."""
-    lines: list[tuple[str, int, bool, int]] = []
+class Line(NamedTuple):
+    text: str
+    linked: int  # characters in links
+    links: int
+    inside: bool  # an article
+    container: int
+    joined: bool  # its container holds the one of the line before, or the other way round
+
+
+def lines_of(page: str) -> list[Line]:
+    """The lines outside boilerplate."""
+    lines: list[Line] = []
     parts: list[str] = []
-    linked = link = article = at = made = 0
+    linked = links = link = article = at = made = 0
     containers = [("", 0)]
+    depths = [0]  # of each container made: where it stands or, within a text, the one around it
+    depth, lowest = -1, 0  # of the line before; fewest containers open since then
     open_elements: list[str] = []  # of a skipped element, itself first
     wholes = _wholes(page)
 
     def end() -> None:
-        nonlocal linked
+        nonlocal linked, links, link, depth, lowest
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            lines.append((text, linked, article > 0, containers[-1][1]))
+            before, depth = depth, depths[containers[-1][1]]
+            lines.append(Line(text, linked, links, article > 0, containers[-1][1], lowest > min(before, depth)))
+            lowest = len(containers)
         parts.clear()
-        linked = 0
+        linked = links = 0
+        link = min(link, 1)
 
     def feed(piece: str) -> None:
-        nonlocal linked
+        nonlocal linked, links, link
         if piece and not open_elements:
             parts.append(piece)
-            if link:
+            if link and piece.strip():
                 linked += len(piece.strip())
+                links += link == 1
+                link = 2  # counted in this line
 
     raw = ""
     for m in _TOKEN.finditer(page):
@@ -120,10 +144,12 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
         if name in _CONTAINERS and not empty:
             if not close:
                 made += 1
+                depths.append(depths[containers[-1][1]] if name in _SOFT else len(containers))
                 containers.append((name, made))
             elif any(n == name for n, _ in containers):
                 while containers.pop()[0] != name:
                     pass
+                lowest = min(lowest, len(containers))
         if name in ("article", "main"):
             article = max(0, article - 1) if close else article + 1
             continue
@@ -134,6 +160,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
                 continue
             end()
             containers = list(outer)
+            lowest = min(lowest, len(containers))
             open_elements.append(name)
     if not raw:
         feed(page[at:].split("<")[0] if re.match(r"[^<]*<[a-zA-Z/!][^>]*$", page[at:]) else page[at:])
@@ -196,14 +223,14 @@ def _holds(page: str, at: int, name: str, wholes: list[int], outer: list[tuple[s
     return _inside(stack, "article", False, False, outer)
 
 
-def weights_of(lines: list[tuple[str, int, bool, int]]) -> list[int]:
-    if any(inside for _, _, inside, _ in lines):
-        return [len(text) if inside else 0 for text, _, inside, _ in lines]
-    sizes, links = Counter(), Counter()
-    for text, linked, _, container in lines:
-        sizes[container] += len(text)
-        links[container] += linked
-    return [len(text) if 2 * links[container] <= sizes[container] else 0 for text, _, _, container in lines]
+def weights_of(lines: list[Line]) -> list[int]:
+    if any(x.inside for x in lines):
+        return [len(x.text) if x.inside else 0 for x in lines]
+    sizes, linked = Counter(), Counter()
+    for x in lines:
+        sizes[x.container] += len(x.text)
+        linked[x.container] += x.linked
+    return [len(x.text) if 2 * linked[x.container] <= sizes[x.container] else 0 for x in lines]
 
 
 def regions(weights: list[int]) -> list[tuple[int, int]]:
@@ -221,19 +248,22 @@ def regions(weights: list[int]) -> list[tuple[int, int]]:
 
 
 def main_text(page: str | None) -> str:
+    """Windows, surges and dives over the page's lines."""
     lines = lines_of(page or "")
     weights: list[int] = []
     texts: list[str] = []
-    before = None
-    for (text, _, inside, container), weight in zip(lines, weights_of(lines), strict=True):
-        kind = weight > 0, inside
-        if before is not None and kind != before:
-            weights += [0] * WINDOW
-            texts += [""] * WINDOW
-        weights.append(weight)
-        texts.append(text)
-        before = kind
-    return "\n\n".join(text for a, b in regions(weights) for text in texts[a:b] if text)
+    before = False
+    for line, weight in zip(lines, weights_of(lines), strict=True):
+        empty = 0 if line.joined and line.inside == before else WINDOW
+        more = 0 if weight else max(0, line.links - 1)
+        weights += [0] * empty + [weight] + [0] * more
+        texts += [""] * empty + [line.text] + [""] * more
+        before = line.inside
+    kept: list[str] = []
+    for surge, dive in regions(weights):
+        first = next(i for i in range(surge, dive) if weights[i])
+        kept += filter(None, texts[first:dive])
+    return "\n\n".join(kept)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

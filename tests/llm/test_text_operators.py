@@ -115,6 +115,39 @@ def test_surge_and_dive():
         assert {i for a, b in found for i in range(a, b)} == kept and all(b < c for (_, b), (c, _) in zip(found, found[1:], strict=False))
 
 
+def test_windows_decide_on_lines_that_weigh_nothing():
+    """Fewer than WINDOW links within a text stay, more are a menu; the lines that weigh alone would not tell."""
+
+    def found(*within):
+        return [extraction.main_text(f"<body><div><p>The text before.</p>{x}<p>The text behind.</p></div></body>").split("\n\n")[1:-1] for x in within]
+
+    rows = "<table><tr><td><a>Paris</a></td><td>two million</td></tr><tr><td><a>Lyon</a><td>half a million</table>"
+    assert found(rows, "<figure><a><figcaption>A harbour</figcaption></a></figure>", "<blockquote><a>Said</a> <a>so</a></blockquote>") == [["Paris", "two million", "Lyon", "half a million"], ["A harbour"], ["Said so"]]
+    assert found("<div><a>A</a> <a>B</a> <a>C</a></div>", "<div><ul><li><a>A</a><li><a>B</a><li><a>C</a></ul></div>", "<div><div class='ad'>x</div></div>") == [[], [], []]
+    page = "<body><div><a>Home</a></div><h1>Title</h1><div><a>Menu</a></div><div><p>Text</p></div><div><a>More</a></div><div>End</div><div><a>Top</a></div></body>"
+    assert extraction.main_text(page) == "Title\n\nText\n\nEnd"
+    assert extraction.main_text("<article>A</article><p>out</p><article>B</article>") == "A\n\nB"
+
+
+def test_windows_against_runs():
+    """Against runs of weightless lines, on random pages without articles; no line that weighs is lost."""
+    draw, bridged = random.Random(0), 0
+    for _ in range(1000):
+        page, pieces = "", ["<div>", "</div>", "<table><tr><td>", "<td>", "</table>", "<figure>", "</figure>", *["<p>some text</p>"] * 3, *["<p><a>link</a> <a>link</a></p>", "<p><a>link</a></p>"] * 2]
+        for n in range(draw.randint(1, 25)):
+            page += draw.choice(pieces).replace("link", f"link{n}").replace("some", f"some{n}")
+        lines = extraction.lines_of(page)
+        weights = extraction.weights_of(lines)
+        weighty = [i for i, w in enumerate(weights) if w]
+        kept = set(weighty)
+        for a, b in zip(weighty, weighty[1:], strict=False):
+            if all(x.joined for x in lines[a + 1 : b + 1]) and sum(max(1, x.links) for x in lines[a + 1 : b]) < extraction.WINDOW:
+                kept |= set(range(a, b))
+        bridged += len(kept) > len(weighty)
+        assert extraction.main_text(page) == "\n\n".join(lines[i].text for i in sorted(kept))
+    assert bridged > 50
+
+
 class Blocks(__import__("html.parser").parser.HTMLParser):
     """A plain second reader: a stack of elements, p and li closed by the next block; text of articles outside boilerplate."""
 
